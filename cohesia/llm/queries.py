@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from cohesia.llm import bpe, decontam, shards, simhash, warc
+from cohesia.llm import bpe, decontam, embed_dedup, shards, simhash, warc
 from cohesia.llm.common import table
 
 #: Vocabulary files; a parameter of the BPE operators.
@@ -35,6 +35,10 @@ def op3_simhash(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_embeddings(spark, sf_dir):
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op8_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -43,5 +47,6 @@ def op10_decontam(spark, sf_dir):
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op3_simhash, op8_warc, op10_decontam)}
-ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE, "op10_decontam": decontam.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op3_simhash, op4_embeddings, op8_warc, op10_decontam)}
+ORACLES: dict[str, str] = {
+    "op8_warc": warc.ORACLE, "op10_decontam": decontam.ORACLE}
