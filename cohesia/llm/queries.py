@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from cohesia.llm import bpe, decontam, embed_dedup, shards, simhash, warc
+from cohesia.llm import bpe, decontam, embed_dedup, quality, shards, simhash, toxicity, warc
 from cohesia.llm.common import table
 
 #: Vocabulary files; a parameter of the BPE operators.
@@ -39,14 +39,22 @@ def op4_embeddings(spark, sf_dir):
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontam(spark, sf_dir):
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op3_simhash, op4_embeddings, op8_warc, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op3_simhash, op4_embeddings, op6_toxicity, op8_warc, op9_quality, op10_decontam)}
 ORACLES: dict[str, str] = {
     "op8_warc": warc.ORACLE, "op10_decontam": decontam.ORACLE}
