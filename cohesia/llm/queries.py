@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from cohesia.llm import bpe, decontam, embed_dedup, quality, shards, simhash, toxicity, warc
+from cohesia.llm import bpe, decontam, embed_dedup, pii, quality, shards, simhash, toxicity, warc
 from cohesia.llm.common import table
 
 #: Vocabulary files; a parameter of the BPE operators.
@@ -43,6 +43,11 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark, sf_dir):
+    out = pii.find(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.BASE], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op8_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -55,6 +60,6 @@ def op10_decontam(spark, sf_dir):
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op3_simhash, op4_embeddings, op6_toxicity, op8_warc, op9_quality, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op3_simhash, op4_embeddings, op6_toxicity, op7_pii, op8_warc, op9_quality, op10_decontam)}
 ORACLES: dict[str, str] = {
     "op8_warc": warc.ORACLE, "op10_decontam": decontam.ORACLE}
