@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from cohesia.llm import bpe, decontam, embed_dedup, pii, quality, shards, simhash, toxicity, warc
+from cohesia.llm import bpe, decontam, embed_dedup, lm_score, pii, quality, shards, simhash, toxicity, warc
 from cohesia.llm.common import table
 
 #: Vocabulary files; a parameter of the BPE operators.
@@ -39,6 +39,10 @@ def op4_embeddings(spark, sf_dir):
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op5_lm_score(spark, sf_dir):
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,6 @@ def op10_decontam(spark, sf_dir):
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op3_simhash, op4_embeddings, op6_toxicity, op7_pii, op8_warc, op9_quality, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op3_simhash, op4_embeddings, op5_lm_score, op6_toxicity, op7_pii, op8_warc, op9_quality, op10_decontam)}
 ORACLES: dict[str, str] = {
     "op8_warc": warc.ORACLE, "op10_decontam": decontam.ORACLE}
