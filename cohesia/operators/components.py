@@ -8,11 +8,40 @@ tables in the shared folder; nothing but the number of remaining edges comes to
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohesia.storage import cut, drop
 
+#: Edges up to which a caller may let one task label the graph (16 bytes each).
+SMALL = 2_000_000
+
+
+def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after joining the ends of edges ``(a, b)``, each the smallest of its class; ``label[label] == label``."""
+    while True:
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            return label
+        to = np.arange(len(label))
+        np.minimum.at(to, np.maximum(la, lb)[apart], np.minimum(la, lb)[apart])
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def _label_task(batches):
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = ids[merge_labels(np.arange(len(ids)), at[: len(a)], at[len(a) :])]
+        for k in range(0, len(ids), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 100_000]), pa.array(label[k : k + 100_000])], names=["id", "component"])
+
 
 def _mix(c):
     c = c.bitwiseXOR(F.shiftleft(c, 13))
@@ -20,11 +49,14 @@ def _mix(c):
     return c.bitwiseXOR(F.shiftleft(c, 17))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", small: int = 0) -> DataFrame:
     """``(id long, component long)`` for every end point of ``edges`` (long ids, any direction, repeats, loops; rows
-    with a null end are ignored); ``component`` is the smallest id reachable.  An empty table gives an empty table."""
+    with a null end are ignored); ``component`` is the smallest id reachable.  An empty table gives an empty table.
+    A table measured to have at most ``small`` rows is labelled in one task; by default none is."""
     pairs = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null")
     base = cut(pairs.select("a", "b", _mix(F.col("a")).alias("u"), _mix(F.col("b")).alias("v")), "cc-base")
+    if small and base.count() <= small:
+        return base.select("a", "b").coalesce(1).mapInArrow(_label_task, "id long, component long")
     vertices = base.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("u").alias("at")), F.struct(F.col("b").alias("id"), F.col("v").alias("at")))).alias("x")).select("x.*").distinct()
     live = cut(_ordered(base.select("u", "v")), "cc-edges")
     label = cut(vertices, "cc-label")

@@ -106,7 +106,7 @@ def closed_neighbourhood(adj: DataFrame, members: DataFrame, by: list[str] | Non
 def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Edges with both ends among ``members(id)``."""
     one = lambda c: members.select(F.col("id").alias(c)).distinct()
-    return edges.join(one("u"), "u", "left_semi").join(one("v"), "v", "left_semi")
+    return edges.join(one("u"), "u", "left_semi").join(one("v"), "v", "left_semi").select("u", "v")
 
 
 def children(nodes: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:

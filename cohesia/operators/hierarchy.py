@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohesia.operators.components import connected_components
+from cohesia.operators.components import connected_components, merge_labels
 from cohesia.storage import cut, drop
 
 SMALL = 2_000_000
@@ -35,27 +35,45 @@ def _label_levels(batches):
     u, v, w = u[~loop], v[~loop], w[~loop]
     label = np.arange(len(ids))
     for k in np.unique(core)[::-1]:
-        a, b = u[w == k], v[w == k]
-        while True:
-            la, lb = label[a], label[b]
-            apart = la != lb
-            if not apart.any():
-                break
-            to = np.arange(len(ids))
-            np.minimum.at(to, np.maximum(la, lb)[apart], np.minimum(la, lb)[apart])
-            while (to[to] != to).any():
-                to = to[to]
-            label = to[label]
+        label = merge_labels(label, u[w == k], v[w == k])
         at = np.flatnonzero(core >= k)
         for j in range(0, len(at), 100_000):
             part = at[j : j + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(ids[part]), pa.array(ids[label[part]])], names=["k", "id", "label"])
 
 
-def maximum_spanning_forest(weights: DataFrame) -> DataFrame:
+def _forest_task(batches):
+    parts = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
+    if not parts:
+        return
+    u, v, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, order = at[: len(u)], at[len(u) :], np.lexsort((v, u, -w))
+    place = np.empty(len(u), np.int64)
+    place[order] = np.arange(len(u))
+    label, taken = np.arange(len(ids)), np.zeros(len(u), bool)
+    live = np.arange(len(u))
+    while len(live):
+        best = np.full(len(ids), len(u))
+        np.minimum.at(best, label[a[live]], place[live])
+        np.minimum.at(best, label[b[live]], place[live])
+        picked = order[np.unique(best[best < len(u)])]
+        taken[picked] = True
+        label = merge_labels(label, a[picked], b[picked])
+        live = live[label[a[live]] != label[b[live]]]
+    t = np.flatnonzero(taken)
+    for k in range(0, len(t), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[t[k : k + 100_000]]) for x in (u, v, w)], names=["u", "v", "w"])
+
+
+def maximum_spanning_forest(weights: DataFrame, small: int | None = None) -> DataFrame:
     """``(u, v, w)``: a spanning forest of largest total weight, ties by the smaller ends, by Borůvka rounds.
 
-    In each round every component takes its best edge; components joined by taken edges become one."""
+    In each round every component takes its best edge; components joined by taken edges become one.  A table of at most ``SMALL`` edges is
+    worked on in one task."""
+    weights = cut(weights.select(F.col("u").cast("long"), F.col("v").cast("long"), F.col("w").cast("long")), "forest-w")
+    if weights.count() <= (SMALL if small is None else small):
+        return weights.coalesce(1).mapInArrow(_forest_task, "u long, v long, w long")
     live = cut(weights.select(F.col("u").alias("a"), F.col("v").alias("b"), "u", "v", "w"), "forest-live")
     taken = None
     while not live.isEmpty():
@@ -78,7 +96,7 @@ def components_by_level(edges: DataFrame, core: DataFrame, weights: DataFrame, s
     if weights.count() <= (SMALL if small is None else small):
         own = core.select(F.col("id").alias("u"), F.col("id").alias("v"), F.col("core").cast("long").alias("w"))
         return weights.unionAll(own).coalesce(1).mapInArrow(_label_levels, "k int, id long, label long")
-    forest = maximum_spanning_forest(weights)
+    forest = maximum_spanning_forest(weights, 0)
     levels = core.select(F.col("core").alias("k")).distinct()
     member = cut(core.join(levels, F.col("k") <= F.col("core")).select("k", "id").withColumn("key", F.monotonically_increasing_id()), "levels-members")
     edge = forest.join(levels, F.col("k") <= F.col("w")).select("k", "u", "v")

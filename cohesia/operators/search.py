@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohesia.operators.components import connected_components
+from cohesia.operators.components import SMALL, connected_components
 from cohesia.operators.coreness import coreness, edge_weights
 from cohesia.operators.hierarchy import components_by_level
 from cohesia.storage import cut
@@ -102,7 +102,7 @@ def local_search(queries: DataFrame, edges: DataFrame, adj: DataFrame) -> tuple[
     strong = cut(degree.join(asked.select("t").distinct(), F.col("degree") >= F.col("t")).select("t", "id").withColumn("key", F.monotonically_increasing_id()), "local-strong")
     of = lambda c: strong.select("t", F.col("id").alias(c), F.col("key").alias(c + "_key"))
     inner = cut(edges.join(of("u"), "u").join(of("v"), ["t", "v"]).select("u_key", "v_key"), "local-edges")
-    part = cut(connected_components(inner, "u_key", "v_key").withColumnRenamed("id", "key"), "local-parts")
+    part = cut(connected_components(inner, "u_key", "v_key", SMALL).withColumnRenamed("id", "key"), "local-parts")
     where = cut(asked.join(strong, ["t", "id"], "left").join(part, "key", "left").select("query_id", "t", "key", "component"), "local-where")
     reached = cut(part.join(where.select("component").distinct(), "component", "left_semi"), "local-reached")
     region = cut(inner.join(reached.select(F.col("key").alias("u_key")), "u_key", "left_semi").select(F.col("u_key").alias("u"), F.col("v_key").alias("v")), "local-region")

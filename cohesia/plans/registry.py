@@ -100,6 +100,12 @@ def induced_subgraph(spark, d):
 
 @query(with_graph(", cc(it, id, lab) as (select 0, u, u from (select distinct u from e) union all select it + 1, id, nl from (select it, id, nl, bool_or(nl < lab) over () chg from (select a.it, a.id, a.lab, least(a.lab, min(b.lab)) nl from cc a join e on e.u = a.id join cc b on b.id = e.v group by a.it, a.id, a.lab)) where chg) select id, min(lab) as component from cc group by id"))
 def connected_components(spark, d):
+    return components.connected_components(copurchase(spark, d), "u", "v", components.SMALL)
+
+
+@query(ORACLES["connected_components"])
+def connected_components_rounds(spark, d):
+    """By rounds, whatever the size."""
     return components.connected_components(copurchase(spark, d), "u", "v")
 
 
