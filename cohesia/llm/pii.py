@@ -66,36 +66,41 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """``(row, k, start, end, valid, mask)`` of every proposal; ``rows``: ``(row, text, digits)``.
+def proposals() -> Column:
+    """All candidates of the columns ``text`` and ``digits`` as an array of (k, i, gap, size, valid, mask); null: none.
 
-    ``k`` is the place of the kind in KINDS; offsets are in code points, ends exclusive; ``valid``: a base span that passes its checks."""
-    hits = rows.select("row", F.explode(F.array_compact(F.array(*[_found(k) for k in KINDS]))).alias("xs")).select("row", F.explode("xs").alias("x")).select("row", "x.*")
-    order = Window.partitionBy("row", "k").orderBy("i")
-    size = F.length("hit")
-    hits = hits.withColumn("end", F.sum(F.col("gap") + size).over(order)).withColumn("start", F.col("end") - size)
-    digits = F.regexp_replace("hit", "[^0-9]", "")
-    n = F.length("digits")
-    is_kind = lambda k: F.col("k") == KINDS.index(k)
+    ``k`` is the place of the kind in KINDS; ``valid``: a base span that passes its checks."""
+    hits = F.flatten(F.array_compact(F.array(*[_found(k) for k in KINDS])))
+    with_digits = F.transform(hits, lambda x: F.struct(*[x[c].alias(c) for c in ("k", "i", "gap", "hit", "before", "after")], F.regexp_replace(x["hit"], "[^0-9]", "").alias("digits")))
     octet = lambda x: (F.length(F.ltrim(x, F.lit("0"))) <= 3) & (F.coalesce(F.substring(F.ltrim(x, F.lit("0")), 1, 3).try_cast("int"), F.lit(0)) <= 255)
-    hits = hits.withColumn("digits", digits)
-    flags = {
-        "luhn": F.when(n.between(14, 19), _luhn(F.col("digits"))).otherwise(False),
-        "octets": F.when(is_kind("ip"), F.forall(F.split("hit", r"\."), octet)).otherwise(False),
-        "digits10_15": n.between(10, 15),
-        "digits14_19": n.between(14, 19),
-        "long": size >= 32,
-        "hex": F.rlike("hit", F.lit("^[0-9a-fA-F]+$")),
-        "mixed": F.rlike("hit", F.lit("[0-9]")) & F.rlike("hit", F.lit("[A-Za-z]")),
-        "cue": F.rlike("before", F.lit(CUE)),
-        "quoted": F.rlike("before", F.lit("[\"'=:]$")),
-        "letter_before": F.rlike("before", F.lit("[A-Za-z]$")),
-        "letter_after": F.rlike("after", F.lit("^[A-Za-z]")),
-    }
-    hits = hits.withColumns(flags)
-    mask = sum((F.when(is_kind(f) if f in KINDS else F.col(f), F.lit(1 << b)).otherwise(0) for b, f in enumerate(FEATURES)), F.lit(0))
-    valid = is_kind("email") | (is_kind("ip") & F.col("octets")) | (is_kind("card") & F.col("digits14_19") & F.col("luhn")) | (is_kind("phone") & F.col("digits10_15"))
-    return hits.select("row", "k", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce(valid, F.lit(False)).alias("valid"), mask.cast("int").alias("mask"))
+
+    def describe(x):
+        hit, n, size = x["hit"], F.length(x["digits"]), F.length(x["hit"])
+        is_kind = lambda k: x["k"] == KINDS.index(k)
+        flags = {
+            "luhn": F.when(n.between(14, 19), _luhn(x["digits"])).otherwise(False),
+            "octets": F.when(is_kind("ip"), F.forall(F.split(hit, r"\."), octet)).otherwise(False),
+            "digits10_15": n.between(10, 15),
+            "digits14_19": n.between(14, 19),
+            "long": size >= 32,
+            "hex": F.rlike(hit, F.lit("^[0-9a-fA-F]+$")),
+            "mixed": F.rlike(hit, F.lit("[0-9]")) & F.rlike(hit, F.lit("[A-Za-z]")),
+            "cue": F.rlike(x["before"], F.lit(CUE)),
+            "quoted": F.rlike(x["before"], F.lit("[\"'=:]$")),
+            "letter_before": F.rlike(x["before"], F.lit("[A-Za-z]$")),
+            "letter_after": F.rlike(x["after"], F.lit("^[A-Za-z]")),
+        }
+        bits = [F.when(is_kind(f) if f in KINDS else flags[f], F.lit(1 << b)).otherwise(F.lit(0)) for b, f in enumerate(FEATURES)]
+        return F.struct(x["k"].alias("k"), x["i"].alias("i"), x["gap"].alias("gap"), size.alias("size"), sum(bits, F.lit(0)).cast("int").alias("mask"))
+
+    bit = lambda m, f: m.bitwiseAND(F.lit(1 << FEATURES.index(f))) != 0
+
+    def checked(x):
+        m = x["mask"]
+        valid = bit(m, "email") | (bit(m, "ip") & bit(m, "octets")) | (bit(m, "card") & bit(m, "digits14_19") & bit(m, "luhn")) | (bit(m, "phone") & bit(m, "digits10_15"))
+        return F.struct(*[x[c].alias(c) for c in ("k", "i", "gap", "size", "mask")], valid.alias("valid"))
+
+    return F.transform(F.transform(with_digits, describe), checked)
 
 
 def weak_label(mask: Column, valid: Column) -> Column:
@@ -165,37 +170,54 @@ class Trees:
                 out = s
         return out
 
-    def selects(self) -> Column:
-        """Whether a candidate with columns ``mask`` and ``k`` is selected."""
-        bit = lambda b: F.col("mask").bitwiseAND(F.lit(1 << b)) != 0
+    def selects(self, mask: Column, k: Column) -> Column:
+        """Whether a candidate is selected."""
+        bit = lambda b: mask.bitwiseAND(F.lit(1 << b)) != 0
         leaf = lambda part: F.when(bit(part[0]), F.lit(part[2])).otherwise(F.lit(part[1]))
         total = sum((F.when(bit(t[0]), leaf(t[2])).otherwise(leaf(t[1])) for t in self.trees), F.lit(self.bias))
-        limit = F.element_at(F.array(*[F.lit(t) for t in self.thresholds]), F.col("k") + 1)
+        limit = F.element_at(F.array(*[F.lit(t) for t in self.thresholds]), k + 1)
         return total >= limit - 1e-9
 
 
-def fit(found: DataFrame) -> Trees:
-    """Fit to all candidates; what is collected has one row for each feature pattern."""
+def fit(asked: DataFrame) -> Trees:
+    """Fit to the candidates of all rows ``(text, digits)``; what is collected has one row for each feature pattern."""
+    found = asked.select(F.explode(proposals()).alias("x")).select("x.mask", "x.valid")
     label = weak_label(F.col("mask"), F.col("valid")).cast("long")
     cells = found.groupBy("mask").agg(F.count("*").alias("n"), F.sum(label).alias("p")).collect()
     return Trees([(r["mask"], r["n"], r["p"]) for r in cells])
 
 
-def _rows(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """All rows numbered, and the texts that can hold a candidate at all."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    numbered = df.select(F.col(id_col).alias("id"), t.alias("text"), F.rlike(t, F.lit("[0-9]")).alias("digits"))
-    asked = F.col("digits") | F.contains("text", F.lit("@"))
-    numbered = cut(numbered.select(F.monotonically_increasing_id().alias("row"), "id", F.when(asked, F.col("text")).alias("text"), "digits"), "pii-rows")
-    return numbered, numbered.where("text is not null").select("row", "text", "digits")
+def _asked(text: Column) -> list[Column]:
+    """Columns that :func:`proposals` reads."""
+    return [F.coalesce(text, F.lit("")).alias("text"), F.rlike(F.coalesce(text, F.lit("")), F.lit("[0-9]")).alias("digits")]
+
+
+def _selected(trees: Trees) -> Column:
+    return F.exists(proposals(), lambda x: x["valid"] | trees.selects(x["mask"], x["k"]))
+
 
+def _split(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame, Trees]:
+    """The rows with a selected candidate, numbered, as a table of ``(row, c, text, digits)`` with all columns in the struct ``c``; the
+    other rows as ``(c)``; the trees.
 
-def spans(asked: DataFrame) -> DataFrame:
-    """``(row, k, start, end, valid)`` of base and selected spans; selected ones that overlap a base span are left out."""
-    found = cut(candidates(asked), "pii-candidates")
-    chosen = found.where("valid").unionAll(found.where(~F.col("valid") & fit(found).selects()))
+    Whether a row has a span needs no offsets and no join, so texts without one, most of them, never move."""
+    packed = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("c"), *_asked(F.col(f"`{text}`")))
+    trees = fit(packed)
+    has = F.coalesce(_selected(trees), F.lit(False))
+    flagged = packed.where(F.col("digits") | F.contains("text", F.lit("@"))).where(has).select(F.monotonically_increasing_id().alias("row"), "c", "text", "digits")
+    return cut(flagged, "pii-flagged"), packed.where(~((F.col("digits") | F.contains("text", F.lit("@"))) & has)).select("c"), trees
+
+
+def spans(flagged: DataFrame, trees: Trees) -> DataFrame:
+    """``(row, k, start, end, valid)`` of base and selected spans of ``(row, text, digits)``; selected ones that overlap a base span are left out.
+
+    Offsets are in code points, ends exclusive."""
+    found = flagged.select("row", F.explode(proposals()).alias("x")).select("row", "x.*")
+    order = Window.partitionBy("row", "k").orderBy("i")
+    found = found.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order).cast("long")).withColumn("start", F.col("end") - F.col("size"))
+    chosen = found.where(F.col("valid") | trees.selects(F.col("mask"), F.col("k"))).select("row", "k", "start", "end", "valid")
     back = Window.partitionBy("row").orderBy("start", "end", "k").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("row").orderBy("start", "end", "k").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     base_end, base_start = F.when(F.col("valid"), F.col("end")), F.when(F.col("valid"), F.col("start"))
     marked = chosen.withColumn("over", (F.coalesce(F.max(base_end).over(back), F.lit(-1)) > F.col("start")) | (F.coalesce(F.min(base_start).over(ahead), F.lit(1 << 60)) < F.col("end")))
     return marked.where("valid or not over").select("row", "k", "start", "end", "valid")
@@ -212,36 +234,35 @@ def find(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame
     """``(id, n_email, n_ip, n_card, n_phone, base, spans)`` for every row.
 
     Null and empty texts have no spans; repeated rows are rows of their own."""
-    rows, asked = _rows(df, id_col, text)
+    flagged, rest, trees = _split(df.select(F.col(id_col), F.col(text)), text)
     counts = [F.count(F.when(F.col("valid") & (F.col("k") == i), True)).alias(f"n_{k}") for i, k in enumerate(BASE)]
-    by_row = spans(asked).groupBy("row").agg(*counts, _listed(F.col("valid")).alias("base"), _listed(F.lit(True)).alias("spans"))
-    out = rows.select("row", "id").join(by_row, "row", "left")
-    return out.select("id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE], F.coalesce("base", F.lit("")).alias("base"), F.coalesce("spans", F.lit("")).alias("spans"))
+    by_row = spans(flagged, trees).groupBy("row").agg(*counts, _listed(F.col("valid")).alias("base"), _listed(F.lit(True)).alias("spans"))
+    out = flagged.select("row", F.col("c.c0").alias("id")).join(by_row, "row", "left")
+    some = out.select("id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE], F.coalesce("base", F.lit("")).alias("base"), F.coalesce("spans", F.lit("")).alias("spans"))
+    none = rest.select(F.col("c.c0").alias("id"), *[F.lit(0).cast("long").alias(f"n_{k}") for k in BASE], F.lit("").alias("base"), F.lit("").alias("spans"))
+    return some.unionAll(none)
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows with every span replaced by its kind in brackets; overlapping spans are merged under the kind that begins first.
 
     Columns and rows stay as they are; null texts stay null."""
+    flagged, rest, trees = _split(df, text)
     names = [f"c{i}" for i in range(len(df.columns))]
     at = names[df.columns.index(text)]
-    base = cut(df.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "pii-docs")
-    t = F.coalesce(F.col(at), F.lit(""))
-    digits = F.rlike(t, F.lit("[0-9]"))
-    asked = base.select("row", t.alias("text"), digits.alias("digits")).where(F.col("digits") | F.contains("text", F.lit("@")))
     order = Window.partitionBy("row").orderBy("start", "k", "end")
-    found = spans(asked).withColumn("new", (F.col("start") >= F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    found = spans(flagged, trees).withColumn("new", (F.col("start") >= F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
     found = found.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = found.groupBy("row", "part").agg(F.min(F.struct("start", "k")).alias("first"), F.max("end").alias("end"))
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     by_row = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("first.start").alias("start"), F.col("end"), F.col("first.k").alias("k")))).alias("cuts"))
-    joined = base.join(by_row, "row", "left")
+    joined = flagged.select("row", "c.*").join(by_row, "row", "left")
     whole = F.col(at)
     piece = lambda x, i: F.concat(
         F.substring(whole, F.when(i == 0, 1).otherwise(F.element_at("cuts", F.greatest(i, F.lit(1)))["end"] + 1).cast("int"), (x["start"] - F.when(i == 0, 0).otherwise(F.element_at("cuts", F.greatest(i, F.lit(1)))["end"])).cast("int")),
         F.element_at(kinds, x["k"] + 1),
     )
-    rest = F.substring(whole, (F.element_at("cuts", -1)["end"] + 1).cast("int"), F.length(whole))
-    rebuilt = F.concat(F.array_join(F.transform("cuts", piece), ""), rest)
+    ending = F.substring(whole, (F.element_at("cuts", -1)["end"] + 1).cast("int"), F.length(whole))
+    rebuilt = F.concat(F.array_join(F.transform("cuts", piece), ""), ending)
     joined = joined.withColumn(at, F.when(F.col("cuts").isNull(), whole).otherwise(rebuilt))
-    return joined.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)])
+    return joined.select(*names).unionAll(rest.select("c.*")).toDF(*df.columns)
