@@ -58,27 +58,32 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
     if small and base.count() <= small:
         return base.select("a", "b").coalesce(1).mapInArrow(_label_task, "id long, component long")
     vertices = base.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("u").alias("at")), F.struct(F.col("b").alias("id"), F.col("v").alias("at")))).alias("x")).select("x.*").distinct()
-    live = cut(_ordered(base.select("u", "v")), "cc-edges")
-    label = cut(vertices, "cc-label")
+    live, steps = cut(_ordered(base.select("u", "v")), "cc-edges"), []
     while not live.isEmpty():
         both = live.union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p"))
-        step = cut(hook, "cc-hook")
-        for _ in range(2):
-            up = step.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            step, old = cut(step.join(up, "p").select("u", F.col("pp").alias("p")), "cc-jump"), step
-            drop(old)
+        hook = cut(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")), "cc-hook")
+        twice = _follow(hook, hook)
+        step = cut(_follow(twice, twice), "cc-step")
+        drop(hook)
         to = lambda c: step.select(F.col("u").alias(c), F.col("p").alias("new_" + c))
         moved = live.join(to("u"), "u").join(to("v"), "v").select(F.col("new_u").alias("u"), F.col("new_v").alias("v"))
-        live, old_live = cut(_ordered(moved), "cc-edges"), live
-        label, old_label = cut(label.join(step.withColumnRenamed("u", "at"), "at", "left").select("id", F.coalesce("p", "at").alias("at")), "cc-label"), label
-        for x in (old_live, old_label, step):
-            drop(x)
-    drop(live)
-    drop(base)
+        live, old = cut(_ordered(moved), "cc-edges"), live
+        drop(old)
+        steps.append(step)
+    label = vertices
+    for step in steps:
+        label = label.join(step.withColumnRenamed("u", "at"), "at", "left").select("id", F.coalesce("p", "at").alias("at"))
+    label = cut(label, "cc-label")
+    for x in (*steps, live, base):
+        drop(x)
     smallest = label.groupBy("at").agg(F.min("id").alias("component"))
     return label.join(smallest, "at").select("id", "component")
 
 
+def _follow(first: DataFrame, then: DataFrame) -> DataFrame:
+    """Pointers ``(u, p)`` of two pointer tables in a row; every target has a pointer."""
+    return first.join(then.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", F.col("pp").alias("p"))
+
+
 def _ordered(df: DataFrame) -> DataFrame:
     return df.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()

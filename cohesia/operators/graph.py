@@ -36,18 +36,15 @@ def vertex_set(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 def dense_ids(vertices: DataFrame) -> DataFrame:
     """``(id, orig)``: ids 0, 1, … in the order of ``orig``, the same however the rows are partitioned.
 
-    Rows are cut into ranges of ``orig``; counts of the ranges give each range its first id, and each range is numbered by itself, so no
-    task sorts all vertices."""
-    table = cut(vertices.select("orig"), "vertices")
-    n = table.count()
+    Rows are dealt into ranges of ``orig`` and kept so; counts of the ranges give each range its first id, and each range is numbered by
+    itself, so no task sorts all vertices."""
+    n = vertices.count()
     bins = max(1, math.ceil(n / BIN_ROWS))
-    edges = [] if bins == 1 else table.approxQuantile("orig", [i / bins for i in range(1, bins)], 0.1 / bins)
-    at = sum((F.when(F.col("orig") > F.lit(int(e)), 1).otherwise(0) for e in sorted(set(edges))), F.lit(0)) if len(edges) <= 64 else F.size(F.filter(F.array(*[F.lit(int(e)) for e in sorted(set(edges))]), lambda e: F.col("orig") > e))
-    ranged = table.withColumn("bin", at)
-    before = ranged.groupBy("bin").count()
-    before = before.select("bin", (F.sum("count").over(Window.orderBy("bin")) - F.col("count")).alias("before"))
+    ranged = cut(vertices.select("orig").repartitionByRange(bins, "orig").withColumn("bin", F.spark_partition_id()), "vertices")
+    counts = ranged.groupBy("bin").count()
+    before = counts.select("bin", (F.sum("count").over(Window.orderBy("bin")) - F.col("count")).alias("before"))
     numbered = ranged.withColumn("n", F.row_number().over(Window.partitionBy("bin").orderBy("orig")) - 1)
-    return numbered.join(F.broadcast(before), "bin").select((F.col("n") + F.col("before")).cast("long").alias("id"), "orig")
+    return numbered.join(before, "bin").select((F.col("n") + F.col("before")).cast("long").alias("id"), "orig")
 
 
 def relabel(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -129,8 +129,9 @@ def shell_nodes(members: DataFrame, ancestors: DataFrame, virtual_root: bool = T
     nodes = size.join(up, ["core", "label"], "left")
     if not virtual_root:
         return nodes.select("core", "label", F.coalesce("p.anc_core", "core").alias("parent_core"), F.coalesce("p.anc_label", "label").alias("parent_label"), F.coalesce("above", F.lit(0)).cast("int").alias("depth"), "size")
-    many = nodes.where("p is null").agg(F.count("*").alias("tops"))
-    nodes = nodes.crossJoin(F.broadcast(many)).withColumn("root", F.col("tops") > 1)
+    nodes = cut(nodes, "shell-nodes")
+    many = nodes.where("p is null").limit(2).count() > 1
+    nodes = nodes.withColumn("root", F.lit(many))
     own = nodes.select(
         "core",
         "label",
@@ -139,7 +140,7 @@ def shell_nodes(members: DataFrame, ancestors: DataFrame, virtual_root: bool = T
         (F.coalesce("above", F.lit(0)) + F.col("root").cast("int")).cast("int").alias("depth"),
         "size",
     )
-    root = many.where("tops > 1").select(F.lit(0).alias("core"), F.lit(-1).cast("long").alias("label"), F.lit(0).alias("parent_core"), F.lit(-1).cast("long").alias("parent_label"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("size"))
+    root = nodes.sparkSession.createDataFrame([(0, -1, 0, -1, 0, 0)] if many else [], own.schema)
     return own.unionAll(root)
 
 
