@@ -251,5 +251,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows with a quality of at least THRESHOLD, all columns kept."""
-    out = score(docs, train(docs, labels), out="_quality").where(F.col("_quality") >= THRESHOLD)
+    out = score(docs, train(docs, labels), out="__cohesia_quality").where(F.col("__cohesia_quality") >= THRESHOLD)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

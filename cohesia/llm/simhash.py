@@ -188,6 +188,6 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """One row of each group of near copies: that of the smallest id, of repeated ids any one.
 
     Rows without an id cannot be told apart and all stay."""
-    kept = near_groups(df, id_col, text).where("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    named = df.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    kept = near_groups(df, id_col, text).where("id = component_id").select(F.col("id").alias(id_col)).distinct()
+    named = df.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(df.columns)
     return named.unionByName(df.where(F.col(id_col).isNull()))
