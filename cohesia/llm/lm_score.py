@@ -33,11 +33,13 @@ END = b"\n"
 HEAD, LEAST = 250_000, 4
 #: Words clustered by their neighbours, and neighbours counted.
 CLUSTERED, NEIGHBOURS = 8_192, 64
-GROUPS, BANDS = 8, 5
+GROUPS, BANDS = 6, 4
 #: Rows of each of the four feature tables.
 BUCKETS = 1 << 13
 TABLES = 4
 BATCH, RATE, MIX = 4096, 0.35, 0.01
+#: Bound of a weight, so that sums of five stay within the range of exp in single precision.
+BOUND = 12.0
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -65,8 +67,8 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _ids(text: bytes | None, index: dict[bytes, int]) -> np.ndarray:
-    w = words(text)
+def _ids(text: bytes | None, index: dict[bytes, int], w: list[bytes] | None = None) -> np.ndarray:
+    w = words(text) if w is None else w
     out = np.empty(len(w) + 1, np.int64)
     out[:-1] = np.fromiter(map(index.get, w, repeat(-1)), np.int64, len(w))
     out[-1] = index.get(END, -1)
@@ -181,33 +183,36 @@ class Model:
         mixed = [back[0] * 2654435761, back[1] * 2246822519 + 11, back[2] * 3266489917 + 23, back[0] * 668265263 + back[1] * 374761393 + 37]
         return [t * BUCKETS + (((m ^ (m >> 15)) * 2057) >> 7) % BUCKETS for t, m in enumerate(mixed)]
 
-    def log_odds(self, feats: list[np.ndarray]) -> np.ndarray:
-        s = self.w[feats[0]]
+    def exp_scores(self, feats: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of the class scores of every token, and their sums."""
+        s = self.w.take(feats[0], axis=0)
         for f in feats[1:]:
-            s += self.w[f]
+            s += self.w.take(f, axis=0)
         s += self.bias
-        s -= s.max(axis=1, keepdims=True)
-        return s
+        np.exp(s, out=s)
+        return s, s @ np.ones(s.shape[1], np.float32)
 
     def class_log10(self, feats: list[np.ndarray], y: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token's class, smoothed by the corpus share of the class."""
-        p = np.exp(self.log_odds(feats))
-        own = p[np.arange(len(y)), y] / p.sum(axis=1)
-        return np.log10((1 - MIX) * own.astype(np.float64) + MIX * self.prior[y])
+        p, total = self.exp_scores(feats)
+        own = p[np.arange(len(y)), y].astype(np.float64) / total
+        return np.log10((1 - MIX) * own + MIX * self.prior[y])
 
     def update(self, feats: list[np.ndarray], y: np.ndarray, square: np.ndarray) -> None:
         """One gradient step on a batch; ``square``: running squares of the gradients of each feature row."""
-        p = np.exp(self.log_odds(feats))
-        p /= p.sum(axis=1, keepdims=True)
+        p, total = self.exp_scores(feats)
+        p /= total[:, None]
         p[np.arange(len(y)), y] -= 1
-        for f in feats:
-            order = np.argsort(f, kind="stable")
+        for t, f in enumerate(feats):
+            order = np.argsort((f - t * BUCKETS).astype(np.uint16), kind="stable")  # a radix sort
             g = f[order]
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             rows = g[first]
-            grad = np.add.reduceat(p[order], first, axis=0)
+            grad = np.add.reduceat(p.take(order, axis=0), first, axis=0)
             square[rows] += np.einsum("ij,ij->i", grad, grad)
-            self.w[rows] -= (RATE / np.sqrt(square[rows] + 1))[:, None].astype(np.float32) * grad
+            new = self.w.take(rows, axis=0)
+            new -= (RATE / np.sqrt(square[rows] + 1))[:, None].astype(np.float32) * grad
+            self.w[rows] = np.clip(new, -BOUND, BOUND, out=new)
 
 
 def _batches(batches, column: int, index):
@@ -240,9 +245,9 @@ def fit_weights(texts: DataFrame, model: Model) -> None:
         square, seen = np.zeros(len(own.w)), np.zeros(len(own.w), np.int64)
         for ids, starts in _batches(batches, 0, own.index()):
             feats, y = own.features(ids, starts), own.target(ids)
-            for k in range(0, len(y), 2 * BATCH):
-                part = [f[k : k + 2 * BATCH] for f in feats]
-                own.update(part, y[k : k + 2 * BATCH], square)
+            for k in range(0, len(y), BATCH):
+                part = [f[k : k + BATCH] for f in feats]
+                own.update(part, y[k : k + BATCH], square)
                 for f in part:
                     seen += np.bincount(f, minlength=len(seen))
         rows = np.flatnonzero(seen)
@@ -286,20 +291,36 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text") ->
 
         def work(batch):
             n, known, base, total, rare = [], [], [], [], []
+
+            def flush(held):
+                if not held:
+                    return
+                size = np.array([len(x) for x in held])
+                starts = np.cumsum(size) - size
+                ids = np.concatenate(held)
+                y, inside = model.target(ids), ids >= 0
+                feats = model.features(ids, starts)
+                logs = np.concatenate([model.class_log10([f[k : k + BATCH] for f in feats], y[k : k + BATCH]) for k in range(0, len(y), BATCH)])
+                if len(model.head):
+                    logs += np.where(inside, model.within[ids], 0)
+                    base.extend(np.add.reduceat(np.where(inside, model.base[ids], 0), starts).tolist())
+                else:
+                    base.extend([0.0] * len(size))
+                n.extend(size.tolist())
+                known.extend(np.add.reduceat(inside.astype(np.int64), starts).tolist())
+                total.extend(np.add.reduceat(logs, starts).tolist())
+
+            held, waiting = [], 0
             for t in batch.column(0):
-                raw = t.as_py()
-                ids = _ids(raw, index)
-                y = model.target(ids)
-                feats = model.features(ids, np.zeros(1, np.int64))
-                logs = sum(float(model.class_log10([f[k : k + 2 * BATCH] for f in feats], y[k : k + 2 * BATCH]).sum()) for k in range(0, len(y), 2 * BATCH))
-                inside = ids[ids >= 0]
-                n.append(len(ids))
-                known.append(len(inside))
-                base.append(float(model.base[inside].sum()))
-                total.append(logs + float(model.within[inside].sum()))
-                out = np.flatnonzero(ids < 0)
-                w = words(raw) if len(out) else []
-                rare.append([w[i] if i < len(w) else END for i in out.tolist()])
+                w = words(t.as_py())
+                ids = _ids(None, index, w)
+                rare.append([w[i] if i < len(w) else END for i in np.flatnonzero(ids < 0).tolist()])
+                held.append(ids)
+                waiting += len(ids)
+                if waiting >= 8 * BATCH:
+                    flush(held)
+                    held, waiting = [], 0
+            flush(held)
             return [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
 
         return work
