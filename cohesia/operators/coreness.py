@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohesia.storage import cut, drop
+from cohesia.plans.fixpoint import fixpoint
+from cohesia.storage import cut
 
 #: Directed edges up to which one task peels the graph (16 bytes each).
 SMALL = 4_000_000
@@ -74,10 +75,8 @@ def coreness(adj: DataFrame, small: int | None = None) -> DataFrame:
     table = cut(adj.select(F.col("src").cast("long"), F.col("dst").cast("long")), "core-adj")
     if table.count() <= (SMALL if small is None else small):
         return table.coalesce(1).mapInArrow(_peel_task, "id long, core long").select("id", F.col("core").cast("int").alias("core"))
-    state = cut(table.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("h")).withColumn("moved", F.lit(True)), "core")
-    while not state.where("moved").isEmpty():
-        state, old = cut(lower(table, state), "core"), state
-        drop(old)
+    degrees = table.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("h")).withColumn("moved", F.lit(True))
+    state = fixpoint(degrees, lambda s: lower(table, s), lambda s: s.where("moved"), name="core")
     return state.select("id", F.col("h").cast("int").alias("core"))
 
 

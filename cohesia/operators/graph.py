@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cohesia.functions import canonical
 from cohesia.storage import cut
 
-#: Rows that one task numbers in :func:`dense_ids`.
+#: Rows that one task numbers in :func:`numbered`.
 BIN_ROWS = 1_000_000
 
 
@@ -33,18 +33,22 @@ def vertex_set(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     return edges.select(F.explode(F.array(u, v)).alias("orig")).where("orig is not null").distinct()
 
 
+def numbered(frame: DataFrame, order: list, name: str) -> DataFrame:
+    """``frame`` with a column of places 0, 1, … in the given order, the same however the rows are partitioned (ties: any way).
+
+    Rows are dealt into ranges of the order and kept so; counts of the ranges give each range its first place, and each range is
+    numbered by itself, so no task sorts all rows."""
+    bins = max(1, math.ceil(frame.count() / BIN_ROWS))
+    ranged = cut(frame.repartitionByRange(bins, *order).withColumn("_bin", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_bin").count()
+    before = counts.select("_bin", (F.sum("count").over(Window.orderBy("_bin")) - F.col("count")).alias("_before"))
+    inside = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_bin").orderBy(*order)) - 1)
+    return inside.join(before, "_bin").withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_bin", "_before", "_at")
+
+
 def dense_ids(vertices: DataFrame) -> DataFrame:
-    """``(id, orig)``: ids 0, 1, … in the order of ``orig``, the same however the rows are partitioned.
-
-    Rows are dealt into ranges of ``orig`` and kept so; counts of the ranges give each range its first id, and each range is numbered by
-    itself, so no task sorts all vertices."""
-    n = vertices.count()
-    bins = max(1, math.ceil(n / BIN_ROWS))
-    ranged = cut(vertices.select("orig").repartitionByRange(bins, "orig").withColumn("bin", F.spark_partition_id()), "vertices")
-    counts = ranged.groupBy("bin").count()
-    before = counts.select("bin", (F.sum("count").over(Window.orderBy("bin")) - F.col("count")).alias("before"))
-    numbered = ranged.withColumn("n", F.row_number().over(Window.partitionBy("bin").orderBy("orig")) - 1)
-    return numbered.join(before, "bin").select((F.col("n") + F.col("before")).cast("long").alias("id"), "orig")
+    """``(id, orig)``: ids 0, 1, … in the order of ``orig``."""
+    return numbered(vertices.select("orig"), ["orig"], "id").select("id", "orig")
 
 
 def relabel(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohesia.operators.components import SMALL, connected_components
 from cohesia.operators.coreness import coreness, edge_weights
+from cohesia.operators.graph import numbered
 from cohesia.operators.hierarchy import components_by_level
 from cohesia.storage import cut
 
@@ -60,10 +61,7 @@ def answer_vertices(answers: DataFrame, comp: DataFrame) -> DataFrame:
 
 def community_ids(answers: DataFrame) -> DataFrame:
     """Answers with ``comm_id``: 0, 1, … over the named components, by level from the top, then by label."""
-    from pyspark.sql import Window
-
-    named = answers.where("label is not null").select("k", "label").distinct()
-    ids = named.withColumn("comm_id", (F.row_number().over(Window.orderBy(F.desc("k"), "label")) - 1).cast("long"))
+    ids = numbered(answers.where("label is not null").select("k", "label").distinct(), [F.desc("k"), "label"], "comm_id")
     return answers.join(ids, ["k", "label"], "left").select("query_id", "found", "k", "label", "comm_id")
 
 

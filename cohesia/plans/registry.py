@@ -234,10 +234,7 @@ def shell_offsets(spark, d):
 
 @query(with_core("select id, row_number() over (order by core, id) - 1 as rank from core"))
 def coreness_rank(spark, d):
-    core = Index(copurchase(spark, d)).core
-    order = F.col("core").cast("long") * F.lit(1 << 40) + F.col("id")
-    ranked = graph.dense_ids(core.select(order.alias("orig")))
-    return ranked.select(F.pmod("orig", F.lit(1 << 40)).alias("id"), F.col("id").alias("rank"))
+    return graph.numbered(Index(copurchase(spark, d)).core, ["core", "id"], "rank").select("id", "rank")
 
 
 # Search
