@@ -12,6 +12,7 @@ Slots are dealt per shard from 0 without gaps through counts per (shard, bin of
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +41,39 @@ def pack(units: list[tuple], shards: int) -> dict:
         best = max(fits, key=lambda s: (sum(a * b for a, b in zip(v, left[s], strict=True)), -s)) if fits else max(range(shards), key=lambda s: (left[s][0], -s))
         where[key] = best
         left[best] = [a - b for a, b in zip(left[best], v, strict=True)]
+    _level({u[0]: u[1] for u in units}, where, shards)
     return where
 
 
+def _level(size: dict, where: dict, shards: int, most: int = 2000) -> None:
+    """Even out the bytes: between the fullest and the emptiest shard, move the unit or swap the two units that come closest to
+    halving the difference, as long as that makes it smaller."""
+    inside: list[list[tuple]] = [[] for _ in range(shards)]
+    for key, s in where.items():
+        insort(inside[s], (size[key], key))
+    total = [sum(n for n, _ in x) for x in inside]
+    for _ in range(most):
+        hi, lo = max(range(shards), key=lambda s: total[s]), min(range(shards), key=lambda s: total[s])
+        gap = total[hi] - total[lo]
+        best = (gap, None, None)
+        for n, key in inside[hi]:
+            if n < gap:
+                best = min(best, (abs(gap - 2 * n), (n, key), None), key=lambda x: x[0])
+            at = bisect_left(inside[lo], (n - gap / 2,), key=lambda x: (x[0],))
+            for m in inside[lo][max(0, at - 1) : at + 1]:
+                if 0 < n - m[0] < gap:
+                    best = min(best, (abs(gap - 2 * (n - m[0])), (n, key), m), key=lambda x: x[0])
+        if best[1] is None or best[0] >= gap:
+            return
+        for unit, a, b in ((best[1], hi, lo), (best[2], lo, hi)):
+            if unit is not None:
+                inside[a].remove(unit)
+                insort(inside[b], unit)
+                where[unit[1]] = b
+                total[a] -= unit[0]
+                total[b] += unit[0]
+
+
 def shard_documents(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, size, text_crc32, tokens, shard, slot)`` for every row.
 
