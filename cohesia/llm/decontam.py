@@ -35,9 +35,10 @@ class _Hashes(dict):
         import xxhash
 
         h = xxhash.xxh64_intdigest(word, 7)
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = h
+        if len(word) <= 64:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -211,11 +211,12 @@ class _Kinds(dict):
         self.automaton = automaton
 
     def __missing__(self, word: str) -> int:
-        found = self.automaton.match(bare(word)) if len(word) <= 64 else None
+        found = self.automaton.match(bare(word))
         kind = -1 if found is None else found[1]
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = kind
+        if len(word) <= 64:  # longer ones are answered but not kept
+            if len(self) >= 400_000:
+                self.clear()
+            self[word] = kind
         return kind
 
 
