@@ -26,11 +26,13 @@ GENERATORS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}+",
     "identity": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "local": r"(?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
 }
 KINDS = tuple(GENERATORS)
+#: Every match but an email holds one of these: a digit and, six or more places on, another in a run of number signs, or a long code.
+NEEDS = r"[0-9][\x20().0-9-]{5,}?[0-9]|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20}"
 CUE = r"(?i)(token|key|secret|passw(or)?d|pwd|auth|api|card|visa|account|ssn|tel|phone|mobile|fax|mail|ip|address)[^A-Za-z0-9]{0,6}$"
 FEATURES = (*KINDS, "luhn", "octets", "digits10_15", "digits14_19", "long", "hex", "mixed", "cue", "quoted", "letter_before", "letter_after")
 ROUNDS, RATE, PRECISION = 30, 0.4, 0.95
@@ -41,20 +43,20 @@ def _found(kind: str) -> Column:
     """Array of (number, length of the text before since the last match, match, context before, context after)."""
     pattern = F.lit(GENERATORS[kind])
     parts, hits = F.split("text", GENERATORS[kind], -1), F.regexp_extract_all("text", pattern, F.lit(0))
-    every = F.transform(
-        F.arrays_zip(hits.alias("hit"), F.slice(parts, 1, F.size(hits)).alias("before"), F.slice(parts, 2, F.size(hits)).alias("after")),
-        lambda x, i: F.struct(
-            F.lit(KINDS.index(kind)).alias("k"),
-            i.alias("i"),
-            F.length(x["before"]).alias("gap"),
-            x["hit"].alias("hit"),
-            F.right(x["before"], F.lit(CONTEXT)).alias("before"),
-            F.left(x["after"], F.lit(1)).alias("after"),
-        ),
+    # Both arrays are bound once, as nothing else keeps an interpreted expression from running again for each use.
+    both = F.array(F.struct(hits.alias("hits"), parts.alias("parts")))
+    one = lambda p: lambda x, i: F.struct(
+        F.lit(KINDS.index(kind)).alias("k"),
+        i.alias("i"),
+        F.length(F.get(p, i)).alias("gap"),
+        x.alias("hit"),
+        F.right(F.get(p, i), F.lit(CONTEXT)).alias("before"),
+        F.left(F.get(p, i + 1), F.lit(1)).alias("after"),
     )
-    # A cheap look for what every match of the kind holds spares most texts the pattern.
-    needs = F.contains("text", F.lit("@")) if kind == "email" else F.contains("text", F.lit("+")) & F.col("digits") if kind == "phone" else F.col("digits")
-    return F.when(needs, every)
+    every = F.flatten(F.transform(both, lambda y: F.transform(y["hits"], one(y["parts"]))))
+    if kind == "email":
+        return F.when(F.contains("text", F.lit("@")), every)
+    return F.when(F.contains("text", F.lit("+")), every) if kind == "phone" else every
 
 
 def _luhn(digits: Column) -> Column:
@@ -67,10 +69,13 @@ def _luhn(digits: Column) -> Column:
 
 
 def proposals() -> Column:
-    """All candidates of the columns ``text`` and ``digits`` as an array of (k, i, gap, size, valid, mask); null: none.
+    """All candidates of the column ``text`` as an array of (k, i, gap, size, valid, mask); null: none.
+
+    A look for what every match holds comes first and spares most texts the patterns.
 
     ``k`` is the place of the kind in KINDS; ``valid``: a base span that passes its checks."""
-    hits = F.flatten(F.array_compact(F.array(*[_found(k) for k in KINDS])))
+    asked = F.contains("text", F.lit("@")) | (F.rlike("text", F.lit("[0-9]")) & F.rlike("text", F.lit(NEEDS)))
+    hits = F.when(asked, F.flatten(F.array_compact(F.array(*[_found(k) for k in KINDS]))))
     with_digits = F.transform(hits, lambda x: F.struct(*[x[c].alias(c) for c in ("k", "i", "gap", "hit", "before", "after")], F.regexp_replace(x["hit"], "[^0-9]", "").alias("digits")))
     octet = lambda x: (F.length(F.ltrim(x, F.lit("0"))) <= 3) & (F.coalesce(F.substring(F.ltrim(x, F.lit("0")), 1, 3).try_cast("int"), F.lit(0)) <= 255)
 
@@ -180,36 +185,31 @@ class Trees:
 
 
 def fit(asked: DataFrame) -> Trees:
-    """Fit to the candidates of all rows ``(text, digits)``; what is collected has one row for each feature pattern."""
+    """Fit to the candidates of all rows ``(text)``; what is collected has one row for each feature pattern."""
     found = asked.select(F.explode(proposals()).alias("x")).select("x.mask", "x.valid")
     label = weak_label(F.col("mask"), F.col("valid")).cast("long")
     cells = found.groupBy("mask").agg(F.count("*").alias("n"), F.sum(label).alias("p")).collect()
     return Trees([(r["mask"], r["n"], r["p"]) for r in cells])
 
 
-def _asked(text: Column) -> list[Column]:
-    """Columns that :func:`proposals` reads."""
-    return [F.coalesce(text, F.lit("")).alias("text"), F.rlike(F.coalesce(text, F.lit("")), F.lit("[0-9]")).alias("digits")]
-
-
 def _selected(trees: Trees) -> Column:
     return F.exists(proposals(), lambda x: x["valid"] | trees.selects(x["mask"], x["k"]))
 
 
 def _split(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame, Trees]:
-    """The rows with a selected candidate, numbered, as a table of ``(row, c, text, digits)`` with all columns in the struct ``c``; the
+    """The rows with a selected candidate, numbered, as a table of ``(row, c, text)`` with all columns in the struct ``c``; the
     other rows as ``(c)``; the trees.
 
     Whether a row has a span needs no offsets and no join, so texts without one, most of them, never move."""
-    packed = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("c"), *_asked(F.col(f"`{text}`")))
+    packed = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("c"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     trees = fit(packed)
     has = F.coalesce(_selected(trees), F.lit(False))
-    flagged = packed.where(F.col("digits") | F.contains("text", F.lit("@"))).where(has).select(F.monotonically_increasing_id().alias("row"), "c", "text", "digits")
-    return cut(flagged, "pii-flagged"), packed.where(~((F.col("digits") | F.contains("text", F.lit("@"))) & has)).select("c"), trees
+    flagged = packed.where(has).select(F.monotonically_increasing_id().alias("row"), "c", "text")
+    return cut(flagged, "pii-flagged"), packed.where(~has).select("c"), trees
 
 
 def spans(flagged: DataFrame, trees: Trees) -> DataFrame:
-    """``(row, k, start, end, valid)`` of base and selected spans of ``(row, text, digits)``; selected ones that overlap a base span are left out.
+    """``(row, k, start, end, valid)`` of base and selected spans of ``(row, text)``; selected ones that overlap a base span are left out.
 
     Offsets are in code points, ends exclusive."""
     found = flagged.select("row", F.explode(proposals()).alias("x")).select("row", "x.*")
