@@ -175,3 +175,24 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     # A class without any id stands for itself; so does a vector that links with nothing.
     component = F.coalesce("component_id", "id")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+ORACLE = """
+with recursive v as (
+  select vec_id, embedding::double[] e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+n as (select vec_id, e, sqrt(list_dot_product(e, e)) s from v where list_dot_product(e, e) > 0),
+l as (select a.vec_id a, b.vec_id b from n a join n b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.95),
+c(it, id, low) as (
+  select 0, vec_id, vec_id from embeddings
+  union all
+  select it + 1, id, new from (
+    select it, id, new, bool_or(new < low) over () more from (
+      select c.it, c.id, c.low, least(c.low, coalesce(min(o.low), c.low)) new
+      from c left join l on l.a = c.id left join c o on o.id = l.b group by c.it, c.id, c.low)) where more),
+m as (select id, min(low) component_id from c group by id),
+k as (select a, count(*) links from l group by a)
+select vec_id, coalesce(links, 0)::bigint n_links, component_id, vec_id = component_id as kept
+from embeddings join m on m.id = vec_id left join k on k.a = vec_id
+"""

@@ -65,5 +65,4 @@ def op10_decontam(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_shards, op3_simhash, op4_embeddings, op5_lm_score, op6_toxicity, op7_pii, op8_warc, op9_quality, op10_decontam)}
-ORACLES: dict[str, str] = {
-    "op8_warc": warc.ORACLE, "op10_decontam": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op4_embeddings": embed_dedup.ORACLE, "op8_warc": warc.ORACLE, "op10_decontam": decontam.ORACLE}
