@@ -226,7 +226,9 @@ def find_revisits(index: DataFrame) -> DataFrame:
 
 
 def convert(decided: DataFrame, arc_folder: str, warc_folder: str) -> DataFrame:
-    """Convert every archive to a WARC file of the same name; returns ``(archive, records)``."""
+    """Convert every archive to a WARC file; returns ``(archive, records)`` with the names of the new files.
+
+    Every attempt of a task writes files of its own, and only those of attempts that finished are named."""
     rows = decided.select("archive", "offset", "to_archive", "to_offset", "to_url").repartition(F.col("archive")).sortWithinPartitions("archive", "offset")
 
     def run(batches):
@@ -238,9 +240,9 @@ def convert(decided: DataFrame, arc_folder: str, warc_folder: str) -> DataFrame:
                         out.close()
                         stream.close()
                     current = r["archive"]
-                    stream, out = _open(f"{arc_folder}/{current}"), _open(f"{warc_folder}/{current.replace('.arc', '.warc')}", True)
+                    made.append([f"{uuid.uuid4().hex}.warc.gz", 0])
+                    stream, out = _open(f"{arc_folder}/{current}"), _open(f"{warc_folder}/{made[-1][0]}", True)
                     records = read_arc(stream)
-                    made.append([current.replace(".arc", ".warc"), 0])
                 offset, head, block = next(records)
                 if offset != r["offset"]:
                     raise ValueError(f"{current}: record at {offset}, not {r['offset']}")
