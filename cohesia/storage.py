@@ -9,6 +9,7 @@ optimizer true sizes and no block lives on one executor only.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -16,6 +17,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: dict[str, str] = {}
+_PACKAGE_AT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Put the folder of this package on the path of Python workers, wherever the session was started from."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _PACKAGE_AT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_PACKAGE_AT, *paths])
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -41,6 +51,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back (same schema, no lineage)."""
     spark = df.sparkSession
+    reach_workers(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
