@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohesia.storage import reach_workers
+
 #: A-Z to a-z on UTF-8 bytes; all other bytes stay.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -23,6 +25,7 @@ def words(text: bytes | None) -> list[bytes]:
 
 def table(spark, folder: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's reader (any file system)."""
+    reach_workers(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -51,6 +54,7 @@ def add_columns(df: DataFrame, payload: dict[str, F.Column], new: list[T.StructF
     a record batch with the payload columns to a list of arrays for ``new``.  Existing columns travel along in one
     struct, so clashing names cannot disturb the computation; a new column replaces an old one of its name.
     Columns in ``without`` are left out of the result and do not travel."""
+    reach_workers(df.sparkSession)
     keep = [c for c in df.columns if c not in {f.name for f in new} and c not in without]
     rest = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     packed = df.select(rest.alias("rest"), *[v.alias(k) for k, v in payload.items()])
