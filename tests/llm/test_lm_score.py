@@ -71,3 +71,9 @@ def test_odd(spark, odd_docs):
     held = make_docs(spark, [(i, "a b", "en", "s", 1) for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2])
     check(lm_score.score_documents(held).collect(), [(r.doc_id, r.text) for r in held.collect()])
     assert only.count() == 2
+
+
+def test_resolution_of_the_class_factor(spark, data):
+    texts = spark.read.parquet(f"{data}/documents.parquet").selectExpr("cast(text as binary) t").limit(40)
+    model, _ = lm_score.train(texts)
+    assert model.classes >= 8 * 5 + 2
