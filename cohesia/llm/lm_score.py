@@ -8,13 +8,16 @@ unknown words: the model is a distribution over the known words and one unknown
 
 Counts cover all training documents.  Training passes over all of them: each task runs gradient updates on its part of the rows from common
 weights, and the weights of a feature are averaged over tasks by the number of times each saw it.  Broadcast are the most frequent ``HEAD`` words and
-the weights, both bounded; everything of the size of the vocabulary stays in tables.
+the weights, whose number follows the tokens (``sizes``); everything of the size of the vocabulary stays in tables.  Words beyond the head enter the history
+by a hash of their bytes.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import Counter
-from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +34,36 @@ FOLDS, FOLD = 7, 2
 END = b"\n"
 #: Words with their counts at hand in every task, of at least LEAST occurrences each.
 HEAD, LEAST = 250_000, 4
-#: Words clustered by their neighbours, and neighbours counted.
+#: Least numbers of words clustered by their neighbours, of neighbours counted and of groups; more tokens give more (``sizes``).
 CLUSTERED, NEIGHBOURS = 8_192, 64
 GROUPS, BANDS = 8, 5
-#: Rows of each of the four feature tables.
-BUCKETS = 1 << 13
+#: Least rows of each of the four feature tables.
+BUCKETS = 1 << 15
+#: Tokens a task trains on for each row of a feature table, and tasks that train at least.
+PER_ROW, TASKS = 128, 16
 TABLES = 4
 BATCH, RATE, MIX = 4096, 0.35, 0.01
 #: Bound of a weight, so that sums of five stay within the range of exp in single precision.
 BOUND = 12.0
 
 
+class Sizes(NamedTuple):
+    clustered: int
+    neighbours: int
+    groups: int
+    buckets: int
+    tasks: int
+
+
+def sizes(tokens: int) -> Sizes:
+    """What the model gathers, from the tokens measured, without an upper bound: feature rows and clustered words by the square root of the tokens,
+    neighbours by the fourth root, groups by the eighth.  Tasks become longer as the tables grow, so that what they send stays in proportion to the input."""
+    n = max(tokens, 1)
+    buckets = max(BUCKETS, 1 << round(math.log2(2 * math.sqrt(n))))
+    times = buckets / BUCKETS
+    return Sizes(round(CLUSTERED * times), round(NEIGHBOURS * math.sqrt(times)), max(GROUPS, round(n**0.125)), buckets, max(TASKS, n // (PER_ROW * buckets)))
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """``(word binary, c long)`` over all texts, ends included."""
 
@@ -68,16 +90,19 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def _ids(text: bytes | None, index: dict[bytes, int], w: list[bytes] | None = None) -> np.ndarray:
+    """Places of the words and the end in the head; others have numbers below zero by their bytes."""
     w = words(text) if w is None else w
-    out = np.empty(len(w) + 1, np.int64)
-    out[:-1] = np.fromiter(map(index.get, w, repeat(-1)), np.int64, len(w))
-    out[-1] = index.get(END, -1)
-    return out
+    w = [*w, END]
+    return np.fromiter((_beyond(x) if (i := index.get(x)) is None else i for x in w), np.int64, len(w))
+
+
+def _beyond(word: bytes) -> int:
+    return -4 - zlib.crc32(word)
 
 
-def neighbour_counts(texts: DataFrame, head: list[bytes]) -> np.ndarray:
-    """For each of the first CLUSTERED head words, how often each of the first NEIGHBOURS stands beside it."""
-    n, d = min(CLUSTERED, len(head)), min(NEIGHBOURS, len(head))
+def neighbour_counts(texts: DataFrame, head: list[bytes], size: Sizes) -> np.ndarray:
+    """For each of the first head words (``size.clustered``), how often each of the first ``size.neighbours`` stands beside it."""
+    n, d = min(size.clustered, len(head)), min(size.neighbours, len(head))
     shared = texts.sparkSession.sparkContext.broadcast(head[:n])
 
     def run(batches):
@@ -93,7 +118,7 @@ def neighbour_counts(texts: DataFrame, head: list[bytes]) -> np.ndarray:
         rows = np.flatnonzero(m.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(m[rows, j]) for j in range(d)]], names=["w", *[f"n{j}" for j in range(d)]])
 
-    found = texts.mapInArrow(run, ", ".join(["w long", *[f"n{j} long" for j in range(d)]])).groupBy("w").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(d)]).toArrow()
+    found = texts.coalesce(size.tasks).mapInArrow(run, ", ".join(["w long", *[f"n{j} long" for j in range(d)]])).groupBy("w").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(d)]).toArrow()
     out = np.zeros((n, d))
     at = found.column("w").to_numpy()
     for j in range(d):
@@ -101,10 +126,10 @@ def neighbour_counts(texts: DataFrame, head: list[bytes]) -> np.ndarray:
     return out
 
 
-def cluster(near: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def cluster(near: np.ndarray, weight: np.ndarray, groups: int) -> np.ndarray:
     """Group of each word: k-means on square roots of neighbour shares, seeds far apart, always the same for the same counts."""
     x = np.sqrt(near / np.maximum(near.sum(axis=1, keepdims=True), 1))
-    k = min(GROUPS, len(x))
+    k = min(groups, len(x))
     if k < 2:
         return np.zeros(len(x), int)
     centres = [x[0]]
@@ -120,15 +145,15 @@ def cluster(near: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return own
 
 
-def spell_groups(head: list[bytes], own: np.ndarray) -> np.ndarray:
+def spell_groups(head: list[bytes], own: np.ndarray, groups: int) -> np.ndarray:
     """Groups of the words beyond the clustered ones, by letter triples of the clustered ones (naive Bayes)."""
     grams = lambda w: [w[i : i + 3] for i in range(max(1, len(w) - 2))]
     seen: dict[bytes, np.ndarray] = {}
     for w, g in zip(head, own, strict=False):
         for t in grams(b"^" + w + b"$"):
-            seen.setdefault(t, np.full(GROUPS, 0.3))[g] += 1
-    prior = np.bincount(own, minlength=GROUPS) + 1.0
-    total = sum(seen.values()) if seen else np.ones(GROUPS)
+            seen.setdefault(t, np.full(groups, 0.3))[g] += 1
+    prior = np.bincount(own, minlength=groups) + 1.0
+    total = sum(seen.values()) if seen else np.ones(groups)
     logs = {t: np.log(v / total) for t, v in seen.items()}
     none = np.log(0.3 / total)
     out = np.empty(len(head), int)
@@ -141,13 +166,14 @@ def spell_groups(head: list[bytes], own: np.ndarray) -> np.ndarray:
 class Model:
     """Head words with counts and classes, class mass, and weights of the class factor."""
 
-    def __init__(self, head: list[bytes], counts: np.ndarray, groups: np.ndarray, total: int, distinct: int, once: int):
+    def __init__(self, head: list[bytes], counts: np.ndarray, groups: np.ndarray, total: int, distinct: int, once: int, size: Sizes):
         self.head, self.counts, self.total, self.distinct = head, counts, total, distinct
-        self.classes = GROUPS * BANDS + 2
+        self.buckets = size.buckets
+        self.classes = size.groups * BANDS + 2
         end, self.tail = self.classes - 2, self.classes - 1
         # Bands of equal mass inside a group, most frequent words first.
         self.cls = np.zeros(len(head), np.int64)
-        for g in range(GROUPS):
+        for g in range(size.groups):
             rows = np.flatnonzero(groups == g)
             mass = np.cumsum(counts[rows])
             if len(rows):
@@ -160,7 +186,7 @@ class Model:
         mass[self.tail] = self.rare + self.unknown
         self.mass = mass
         self.prior = mass / mass.sum()
-        self.w = np.zeros((TABLES * BUCKETS, self.classes), np.float32)
+        self.w = np.zeros((TABLES * self.buckets, self.classes), np.float32)
         self.bias = np.log(self.prior + 1e-9).astype(np.float32)
         self.within = np.log10(counts / mass[self.cls]) if len(head) else np.zeros(0)
         self.base = np.log10(counts + 1.0)
@@ -169,10 +195,9 @@ class Model:
         return {w: i for i, w in enumerate(self.head)}
 
     def target(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids >= 0, self.cls[ids] if len(self.cls) else self.tail, self.tail)
+        return np.where(ids >= 0, self.cls[np.maximum(ids, 0)] if len(self.cls) else self.tail, self.tail)
 
-    @staticmethod
-    def features(ids: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    def features(self, ids: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         """Rows of the feature tables for every token; ``starts``: where each text begins in ``ids``."""
         place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
         back = []
@@ -181,7 +206,7 @@ class Model:
             h[d:] = ids[:-d]
             back.append(np.where(place >= d, h, -2) + 3)
         mixed = [back[0] * 2654435761, back[1] * 2246822519 + 11, back[2] * 3266489917 + 23, back[0] * 668265263 + back[1] * 374761393 + 37]
-        return [t * BUCKETS + (((m ^ (m >> 15)) * 2057) >> 7) % BUCKETS for t, m in enumerate(mixed)]
+        return [t * self.buckets + (((m ^ (m >> 15)) * 2057) >> 7) % self.buckets for t, m in enumerate(mixed)]
 
     def exp_scores(self, feats: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Exponentials of the class scores of every token, and their sums."""
@@ -198,16 +223,17 @@ class Model:
         own = p[np.arange(len(y)), y].astype(np.float64) / total
         return np.log10((1 - MIX) * own + MIX * self.prior[y])
 
-    def update(self, feats: list[np.ndarray], y: np.ndarray, square: np.ndarray) -> None:
-        """One gradient step on a batch; ``square``: running squares of the gradients of each feature row."""
+    def update(self, feats: list[np.ndarray], y: np.ndarray, square: np.ndarray, seen: np.ndarray) -> None:
+        """One gradient step on a batch; ``square``: running squares of the gradients of each feature row, ``seen``: its tokens."""
         p, total = self.exp_scores(feats)
         p /= total[:, None]
         p[np.arange(len(y)), y] -= 1
         for t, f in enumerate(feats):
-            order = np.argsort((f - t * BUCKETS).astype(np.uint16), kind="stable")  # a radix sort
+            order = np.argsort((f - t * self.buckets).astype(np.uint16 if self.buckets <= 1 << 16 else np.uint32), kind="stable")  # 16 bits: a radix sort
             g = f[order]
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             rows = g[first]
+            seen[rows] += np.diff(np.append(first, len(g)))
             grad = np.add.reduceat(p.take(order, axis=0), first, axis=0)
             square[rows] += np.einsum("ij,ij->i", grad, grad)
             new = self.w.take(rows, axis=0)
@@ -232,7 +258,7 @@ def _batches(batches, column: int, index):
         yield np.concatenate(held), np.array(starts)
 
 
-def fit_weights(texts: DataFrame, model: Model) -> None:
+def fit_weights(texts: DataFrame, model: Model, tasks: int) -> None:
     """Gradient updates over all texts, in every task from the same weights, averaged by feature."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
     c = model.classes
@@ -247,15 +273,13 @@ def fit_weights(texts: DataFrame, model: Model) -> None:
             feats, y = own.features(ids, starts), own.target(ids)
             for k in range(0, len(y), BATCH):
                 part = [f[k : k + BATCH] for f in feats]
-                own.update(part, y[k : k + BATCH], square)
-                for f in part:
-                    seen += np.bincount(f, minlength=len(seen))
+                own.update(part, y[k : k + BATCH], square, seen)
         rows = np.flatnonzero(seen)
         for k in range(0, len(rows), 4096):
             at = rows[k : k + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at]), *[pa.array(own.w[at, j]) for j in range(c)]], names=["f", "n", *[f"w{j}" for j in range(c)]])
 
-    found = texts.mapInArrow(run, ", ".join(["f long", "n long", *[f"w{j} float" for j in range(c)]]))
+    found = texts.coalesce(tasks).mapInArrow(run, ", ".join(["f long", "n long", *[f"w{j} float" for j in range(c)]]))
     mean = found.groupBy("f").agg(*[(F.sum(F.col(f"w{j}") * F.col("n")) / F.sum("n")).cast("float").alias(f"w{j}") for j in range(c)]).toArrow()
     at = mean.column("f").to_numpy()
     for j in range(c):
@@ -268,13 +292,14 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
     top = counts.where(F.col("c") >= LEAST).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
     head, c = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64)
+    size = sizes(totals.n)
     groups = np.zeros(0, int)
     if head:
-        near = neighbour_counts(texts, head)
-        groups = spell_groups(head, cluster(near, c[: len(near)]))
-    model = Model(head, c, groups, totals.n, totals.v, totals.once)
+        near = neighbour_counts(texts, head, size)
+        groups = spell_groups(head, cluster(near, c[: len(near)], size.groups), size.groups)
+    model = Model(head, c, groups, totals.n, totals.v, totals.once, size)
     if head:
-        fit_weights(texts, model)
+        fit_weights(texts, model, size.tasks)
     return model, counts
 
 
@@ -302,8 +327,8 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text") ->
                 feats = model.features(ids, starts)
                 logs = np.concatenate([model.class_log10([f[k : k + BATCH] for f in feats], y[k : k + BATCH]) for k in range(0, len(y), BATCH)])
                 if len(model.head):
-                    logs += np.where(inside, model.within[ids], 0)
-                    base.extend(np.add.reduceat(np.where(inside, model.base[ids], 0), starts).tolist())
+                    logs += np.where(inside, model.within[np.maximum(ids, 0)], 0)
+                    base.extend(np.add.reduceat(np.where(inside, model.base[np.maximum(ids, 0)], 0), starts).tolist())
                 else:
                     base.extend([0.0] * len(size))
                 n.extend(size.tolist())

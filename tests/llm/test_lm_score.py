@@ -77,3 +77,21 @@ def test_resolution_of_the_class_factor(spark, data):
     texts = spark.read.parquet(f"{data}/documents.parquet").selectExpr("cast(text as binary) t").limit(40)
     model, _ = lm_score.train(texts)
     assert model.classes >= 8 * 5 + 2
+
+
+def test_model_grows_with_the_tokens():
+    small, large, larger = (lm_score.sizes(n) for n in (10**6, 10**9, 10**11))
+    assert small[:4] == (8192, 64, 8, lm_score.BUCKETS)
+    assert all(a < b < c for a, b, c in zip(small[:4], large[:4], larger[:4], strict=True))
+    # What all tasks send stays in proportion to the tokens.
+    assert all(s.tasks * s.buckets * lm_score.PER_ROW <= max(n, lm_score.TASKS * s.buckets * lm_score.PER_ROW) for n, s in ((10**9, large), (10**11, larger)))
+
+
+def test_words_beyond_the_head_differ_in_the_history(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "LEAST", 60)
+    texts = make_docs(spark, [(i, f"common w{i % 50} common", "en", "s", 1) for i in range(200)]).selectExpr("cast(text as binary) t")
+    model, _ = lm_score.train(texts)
+    a, b = (lm_score._ids(t, model.index()) for t in (b"common w1 common", b"common w2 common"))
+    assert a[1] < 0 and b[1] < 0 and (model.target(a) == model.target(b)).all()
+    start = np.zeros(1, np.int64)
+    assert any((x[2] != y[2]) for x, y in zip(model.features(a, start), model.features(b, start), strict=True))
