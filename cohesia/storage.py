@@ -29,11 +29,13 @@ def reach_workers(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``; where that is unset
-    (single-machine tests) a temporary folder, removed at exit."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``, or the folder given to ``setCheckpointDir``; where neither
+    is set, on a single machine only, a temporary folder, removed at exit."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (None if spark.sparkContext.applicationId in _own_root else spark.sparkContext.getCheckpointDir())
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         folder = tempfile.mkdtemp(prefix="cohesia-")
@@ -64,8 +66,13 @@ def drop(df: DataFrame | None) -> None:
 
     Only for tables that no unfinished frame reads any more."""
     path = getattr(df, "_cohesia_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
+    if path is not None:
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package made under the shared folder."""
+    if not path.startswith(f"{shared_root(spark)}/cohesia/"):
+        raise ValueError(f"{path} is none of this package's folders")
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
