@@ -7,8 +7,8 @@ list, and pairs with exactly 3 differing bytes in one list only.  Inside a list
 pairs below 5 are dropped, and the rest are verified by their differing bits.
 
 Equal fingerprints are merged before the index, so copies never form pairs.  Lists longer than ``HOT`` are divided by a
-fifth byte, after which 24 free bits bound a list to 2**24 fingerprints (128 MB) however large the table is; inside
-a list only a spanning forest of the links is emitted, never all pairs.
+fifth byte, after which 24 free bits bound a list to 2**24 fingerprints (128 MB) however large the table is; such a list is searched in
+time proportional to its length.  A list emits the components of its links as a forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -23,16 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohesia.llm.common import add_columns, words
-from cohesia.operators.components import connected_components
+from cohesia.operators.components import connected_components, merge_labels
 from cohesia.storage import cut, drop
 
 MAX_BITS, SHARED_BYTES, SHINGLE = 3, 5, 3
 #: Posting lists above this length are divided by one more byte.
 HOT = 4096
-#: Lists up to this length are compared in one vector pass over neighbours; longer ones are searched link by link.
+#: Lists up to this length are compared together with others in vector passes over neighbours.
 SMALL = 48
-#: From this length on, links of a fingerprint are looked up among all fingerprints at 3 flipped bits or fewer.
-PROBED = 200_000
 
 BLOCKS4 = [s for s in combinations(range(8), 4) if s[0] ^ s[1] ^ s[2] ^ s[3] == 0]
 BLOCKS5 = list(combinations(range(8), 5))
@@ -70,80 +68,94 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", without: tu
 
 def _linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a ^ b
-    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1)
-    return (shared >= SHARED_BYTES) & (np.bitwise_count(x) <= MAX_BITS)
+    near = np.bitwise_count(x) <= MAX_BITS
+    out = np.zeros(x.shape, bool)
+    if near.any():
+        out[near] = (np.ascontiguousarray(x[near]).view(np.uint8).reshape(-1, 8) == 0).sum(axis=-1) >= SHARED_BYTES
+    return out
+
+
+def _merge_pairs(fps: np.ndarray) -> np.ndarray:
+    """Labels (smallest place of the component) of one list, each row against all others, a block of rows at a time."""
+    label = np.arange(len(fps))
+    for k in range(0, len(fps), 256):
+        a, b = np.nonzero(_linked(fps[k : k + 256, None], fps[None, k:]))
+        label = merge_labels(label, a + k, b + k)
+    return label
+
+
+def _merge_flips(fps: np.ndarray, free: list[int]) -> np.ndarray:
+    """The same for a list whose fingerprints differ in the three ``free`` bytes only: the 24 free bits address a table, in which the
+    neighbours at every flip of 3 bits or fewer are looked up.  The work is proportional to the length of the list, the table takes 64 MB."""
+    value = sum(((fps >> np.uint64(8 * p)) & np.uint64(0xFF)) << np.uint64(8 * i) for i, p in enumerate(free)).astype(np.int64)
+    place = np.full(1 << 24, -1, np.int32)
+    place[value] = np.arange(len(fps), dtype=np.int32)
+    label = np.arange(len(fps))
+    varying = [i for i in range(24) if len(np.unique(value >> i & 1)) > 1]
+    for n in range(1, MAX_BITS + 1):
+        for flip in combinations(varying, n):
+            other = place[value ^ sum(1 << i for i in flip)]
+            at = np.flatnonzero(other > np.arange(len(fps)))
+            label = merge_labels(label, at, other[at])
+        if (label == 0).all():
+            break
+    return label
 
 
 def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct sorted fingerprints of one list."""
-    left, right = [], []
-    open_ = fps
-    probes = None
-    while len(open_):
-        todo, open_ = [open_[0]], open_[1:]
-        while todo and len(open_):
-            u = todo.pop()
-            if len(open_) >= PROBED:
-                if probes is None:
-                    free = [i for i in range(64) if len(np.unique((fps >> np.uint64(i)) & np.uint64(1))) > 1]
-                    probes = np.array([sum(1 << b for b in c) for n in range(1, MAX_BITS + 1) for c in combinations(free, n)], dtype=np.uint64)
-                want = probes ^ u
-                at = np.minimum(np.searchsorted(open_, want), len(open_) - 1)
-                at = np.unique(at[open_[at] == want])
-            else:
-                at = np.flatnonzero(_linked(open_, u))
-            if len(at):
-                found = open_[at]
-                left += [u] * len(at)
-                right += found.tolist()
-                todo += list(found)
-                open_ = np.delete(open_, at)
-    return np.array(left, dtype=np.uint64), np.array(right, dtype=np.uint64)
+    """Components of the links among distinct fingerprints of one list, as pairs of a member and the first of its component: one fewer than
+    members, however many links there are."""
+    varying = np.bitwise_or.reduce(fps ^ fps[0]) if len(fps) else np.uint64(0)
+    free = [p for p in range(8) if int(varying) >> (8 * p) & 0xFF]
+    label = _merge_flips(fps, free) if len(fps) > HOT and len(free) <= 3 else _merge_pairs(fps)
+    at = np.flatnonzero(label != np.arange(len(fps)))
+    return fps[label[at]], fps[at]
+
+
+def _short_lists(fps: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`forest` of many lists at once; ``own``: list of each row, rows of a list together, SMALL at most."""
+    label = np.arange(len(fps))
+    for d in range(1, SMALL):
+        same = np.flatnonzero(own[d:] == own[:-d])
+        if not len(same):
+            break
+        ok = same[_linked(fps[same], fps[same + d])]
+        label = merge_labels(label, ok, ok + d)
+    at = np.flatnonzero(label != np.arange(len(fps)))
+    return fps[label[at]], fps[at]
 
 
 def _links(batches):
     """Links of each list; the rows come sorted by list and fingerprint."""
 
     def finish(block, key, fp):
-        if not len(fp):
-            return
         first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (key[1:] != key[:-1])]))
         size = np.diff(np.append(first, len(fp)))
-        own = np.repeat(np.arange(len(first)), size)
         fps = fp.view(np.uint64)
-        left, right = [], []
         few = np.repeat(size <= SMALL, size)
-        some, of = fps[few], own[few]
-        for d in range(1, SMALL):
-            if len(some) <= d:
-                break
-            same = np.flatnonzero(of[d:] == of[:-d])
-            if not len(same):
-                break
-            a, b = some[same], some[same + d]
-            ok = _linked(a, b)
-            left.append(a[ok])
-            right.append(b[ok])
-        for i in np.flatnonzero(size > SMALL):
-            a, b = forest(fps[first[i] : first[i] + size[i]])
-            left.append(a)
-            right.append(b)
-        a, b = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
+        found = [_short_lists(fps[few], np.repeat(np.arange(len(first)), size)[few])]
+        found += [forest(fps[first[i] : first[i] + size[i]]) for i in np.flatnonzero(size > SMALL)]
+        a, b = (np.concatenate([f[i] for f in found]).view(np.int64) for i in (0, 1))
         for k in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], names=["a", "b"])
 
-    held = None
+    held, rows = [], 0
     for batch in batches:
         new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        if len(held[0]) >= 100_000:
-            edge = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
-            if len(edge):
-                n = edge[-1] + 1
-                yield from finish(*(x[:n] for x in held))
-                held = [x[n:] for x in held]
-    if held is not None:
-        yield from finish(*held)
+        if not len(new[0]):
+            continue
+        if held and rows + len(new[0]) >= 100_000:
+            # All whole lists go; of a list that goes on, the parts are joined once, at its end.
+            edge = np.flatnonzero((new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1]))
+            starts_new = new[0][0] != held[-1][0][-1] or new[1][0] != held[-1][1][-1]
+            if starts_new or len(edge):
+                n = edge[-1] + 1 if len(edge) else 0
+                yield from finish(*(np.concatenate([*[h[i] for h in held], new[i][:n]]) for i in range(3)))
+                held, rows, new = [], 0, [x[n:] for x in new]
+        held.append(new)
+        rows += len(new[0])
+    if held:
+        yield from finish(*(np.concatenate([h[i] for h in held]) for i in range(3)))
 
 
 def link_fingerprints(distinct: DataFrame, fp: str = "fp") -> DataFrame:
@@ -165,16 +177,23 @@ def link_fingerprints(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     return sorted_lists.mapInArrow(_links, "a long, b long")
 
 
+def classes(rows: DataFrame, best: F.Column, fp: str = "fp") -> tuple[DataFrame, DataFrame]:
+    """``(fp, component, best)`` of every fingerprint and ``(component, best)`` of every component, with the least value of
+    ``best`` (nulls last) among the rows."""
+    distinct = cut(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(best).alias("best")), "simhash-fps")
+    links = cut(link_fingerprints(distinct), "simhash-links")
+    found = connected_components(links, "a", "b").withColumnRenamed("id", "fp")
+    of = cut(distinct.join(found, "fp", "left").select("fp", "best", F.coalesce("component", "fp").alias("component")), "simhash-of")
+    drop(links)
+    drop(distinct)
+    return of, of.groupBy("component").agg(F.min("best").alias("best"))
+
+
 def components(df: DataFrame, id_col: str = "doc_id", fp: str = "fp") -> DataFrame:
     """Append ``component_id``: the smallest id reachable over links of at most 3 differing bits (null ids never
     win; a group without any id has null).  Rows, repeats included, stay as they are."""
-    distinct = cut(df.groupBy(fp).agg(F.min(id_col).alias("low")), "simhash-fps")
-    links = cut(link_fingerprints(distinct, fp), "simhash-links")
-    found = connected_components(links, "a", "b").select(F.col("id").alias(fp), "component")
-    drop(links)
-    joined = cut(distinct.join(found, fp, "left").select(fp, "low", F.coalesce("component", fp).alias("component")), "simhash-of")
-    low = joined.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_fp = joined.join(low, "component").select(F.col(fp).alias("_fp"), "component_id")
+    of, low = classes(df, F.col(id_col), fp)
+    by_fp = of.drop("best").join(low, "component").select(F.col("fp").alias("_fp"), F.col("best").alias("component_id"))
     return df.drop("component_id").join(by_fp, F.col(fp) == F.col("_fp"), "left").drop("_fp")
 
 
@@ -185,9 +204,18 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near copies: that of the smallest id, of repeated ids any one.
-
-    Rows without an id cannot be told apart and all stay."""
-    kept = near_groups(df, id_col, text).where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    named = df.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(df.columns)
-    return named.unionByName(df.where(F.col(id_col).isNull()))
+    """One row of each group of near copies: that of the smallest id, rows without an id last.
+
+    A row is known by two hashes over all its columns, not by its id: rows of one id with unlike texts are rows of their own, and of rows that
+    are equal in every column any one stays."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    # Whether a column is null goes into the hash too: hashes pass over nulls.
+    nulls = F.concat_ws("", *[c.isNull().cast("int") for c in columns])
+    keys = {"_k1": F.xxhash64(*columns, nulls), "_k2": F.xxhash64(F.lit("second"), nulls, *columns)}
+    named = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("t"), *[v.alias(k) for k, v in keys.items()])
+    rows = cut(fingerprints(named, "t", without=("t",)), "simhash-rows")
+    # Of structs the least has the least first field; false comes before true.
+    _, low = classes(rows, F.struct(F.col("id").isNull(), "id", "_k1", "_k2"))
+    kept = low.select(F.col("best._k1").alias("_k1"), F.col("best._k2").alias("_k2"))
+    packed = df.select(F.struct(*columns).alias("c"), *[v.alias(k) for k, v in keys.items()])
+    return packed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*[F.col(f"c.`{c}`").alias(c) for c in df.columns])
