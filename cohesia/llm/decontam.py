@@ -1,18 +1,20 @@
 """Benchmark decontamination: short test items inside long documents.
 
 An item of n distinct 5-word shingles is contained in a document if at least 80 % of them occur there.  Items are partitioned by
-size; in the class of sizes up to u each item is sketched by its ``floor(0.2 u) + 1`` smallest shingle hashes (a
-bottom-k MinHash of the small set, whose overlap with a document estimates containment whatever the document's
-length).  A contained item can miss at most floor(0.2 n) shingles, so at least one hash of its sketch occurs in the document:
-candidate search loses nothing.  Candidates are verified by their shingles themselves, not by hashes.
-
-Documents never move: the sketches of a block of items travel to them.  A block is bounded in bytes; a larger
-benchmark is taken in several blocks, one pass over the documents for each.
+size; in the class of sizes up to u each item is sketched by its ``floor(0.2 u) + SPARE`` smallest shingle hashes (a
+bottom-k MinHash of the small set).  The part of a sketch that occurs in a document estimates how far the document contains the item,
+whatever the document's length.  A contained item can miss at most floor(0.2 n) shingles, so of a sketch of s hashes at least
+s - floor(0.2 n) occur in the document: candidates below that go, and the search loses nothing.  Candidates are verified by their
+shingles themselves, not by hashes.
+
+Documents never move: the sketches of a block of items travel to them.  A block is bounded in bytes (one item more at
+most); a larger benchmark is taken in several blocks, one pass over the documents for each.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from cohesia.llm.common import slices, words
 
 SHINGLE, CONTAINED = 5, 0.8
+#: Hashes of a sketch beyond those that a contained item may lack.
+SPARE = 4
 #: UTF-8 bytes of item texts in one block.
 BLOCK_BYTES = 16 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15 ** (i + 1) % (1 << 64) for i in range(SHINGLE)], dtype=np.uint64)
@@ -74,7 +78,7 @@ class Index:
 
     def __init__(self, items: list[tuple]):
         self.items = []
-        hashes, owners = [], []
+        hashes, owners, least = [], [], []
         for item_id, text in items:
             w = words(text)
             grams = shingles(w)
@@ -82,14 +86,15 @@ class Index:
                 continue
             upper = (1 << len(grams).bit_length()) - 1  # the largest size of its class
             own = np.unique(shingle_hashes(w))
-            sketch = own[: min(len(own), max(missing(upper), missing(len(grams))) + 1)]
+            sketch = own[: max(missing(upper), missing(len(grams))) + SPARE]
             hashes.append(sketch)
             owners.append(np.full(len(sketch), len(self.items)))
-            self.items.append((item_id, grams, len(w) < SHINGLE))
+            self.items.append((item_id, grams))
+            least.append(max(1, len(sketch) - missing(len(grams)) - (len(grams) - len(own))))
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hashes, self.owners = h[order], (np.concatenate(owners) if owners else np.zeros(0, int))[order]
-        self.short = any(s for _, _, s in self.items)
+        self.least = np.array(least, dtype=np.int64)
 
     def search(self, text: bytes | None) -> list[tuple]:
         """``(item, shingles, shared)`` of the contained items.  Items of fewer than 5 words match documents of the same words only."""
@@ -102,37 +107,45 @@ class Index:
         if not len(hit):
             return []
         left, right = np.searchsorted(self.hashes, hit), np.searchsorted(self.hashes, hit, "right")
-        found = sorted({int(o) for a, b in zip(left, right, strict=True) for o in self.owners[a:b]})
+        at, times = np.unique(np.concatenate([self.owners[a:b] for a, b in zip(left, right, strict=True)]), return_counts=True)
+        found = at[times >= self.least[at]]
+        if not len(found):
+            return []
         grams, out = shingles(w), []
-        for i in found:
-            item_id, own, _ = self.items[i]
+        for i in found.tolist():
+            item_id, own = self.items[i]
             shared = len(own & grams)
             if shared >= len(own) - missing(len(own)):
                 out.append((item_id, len(own), shared))
         return out
 
 
-def blocks(items: DataFrame, id_col: str, text: str) -> list[list[tuple]]:
-    """The items in blocks of bounded size, read block by block."""
-    pairs = items.select(F.col(id_col).alias("i"), F.col(text).cast("binary").alias("t")).where("i is not null and t is not null")
-    total = pairs.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0)).alias("n")).first().n
-    count = max(1, math.ceil(2 * total / BLOCK_BYTES)) if total > BLOCK_BYTES else 1
-    for b in range(count):
-        part = pairs if count == 1 else pairs.where(F.pmod(F.xxhash64("i"), F.lit(count)) == b)
-        yield [tuple(r) for r in part.collect()]
+def blocks(items: DataFrame, id_col: str, text: str) -> Iterator[list[tuple]]:
+    """The items ``(id, text)`` in blocks of at most BLOCK_BYTES, or one item; the driver holds a block and a partition of the items at a time."""
+    pairs = items.select(F.col(id_col).alias("i"), F.col(text).cast("binary").alias("t")).where("t is not null")
+    block, size, any_ = [], 0, False
+    for r in pairs.toLocalIterator():
+        n = len(r.t) + 64
+        if block and size + n > BLOCK_BYTES:
+            yield block
+            block, size, any_ = [], 0, True
+        block.append((r.i, bytes(r.t)))
+        size += n
+    if block or not any_:
+        yield block
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_id, item_id, n_shingles, n_shared, containment)`` for every document row and contained item.
 
-    Null, empty and blank texts contain nothing and are contained nowhere; items without an id are left out; repeated
-    document rows and items give repeated results."""
+    Null, empty and blank texts contain nothing and are contained nowhere; an item without an id is reported with a null item_id;
+    repeated document rows and items give repeated results."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("t"))
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
     out = None
     for block in blocks(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast([(i, bytes(t)) for i, t in block])
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             index = Index(shared.value)
@@ -149,10 +162,10 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: s
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that contain no item, all columns kept; row order and ids play no part."""
+    """The rows that contain no item, all columns kept; row order and ids, those of the items too, play no part."""
     spark, kept = docs.sparkSession, docs
     for block in blocks(items, "item_id", "text"):
-        shared = spark.sparkContext.broadcast([(i, bytes(t)) for i, t in block])
+        shared = spark.sparkContext.broadcast(block)
         at = docs.columns.index(text)
 
         def run(batches, shared=shared, at=at):
