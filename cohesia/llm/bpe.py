@@ -5,13 +5,14 @@ position of a piece, the tokens that start there; the encoder takes the longest
 before it survives the merge order (pair-compatibility table) and backtracks, never visiting a dead position twice.
 Decoding gathers bytes through an offset table over one blob of all token bytes.
 
-The vocabulary file is a parameter; files of the ``tokenizers`` JSON form with a byte-level BPE model are read.
+The vocabulary file is a parameter and is read on the driver only; files of the ``tokenizers`` JSON form with a byte-level BPE model are read.
 """
 
 from __future__ import annotations
 
 import json
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -28,6 +29,8 @@ from cohesia.llm.common import add_columns
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces kept with their tokens in a worker, and the longest piece kept; both only bound memory.
 CACHED, CACHED_CHARS = 600_000, 48
+#: Places of a piece whose matches are held at a time.
+WINDOW = 4096
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -39,14 +42,13 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Tokenizer:
-    """Encoder and decoder for one vocabulary file (see module text)."""
+    """Encoder and decoder for the contents of one vocabulary file (see module text)."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, raw_file: bytes):
+        spec = json.loads(raw_file)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or spec.get("normalizer") or pre.get("add_prefix_space"):
-            raise ValueError(f"{path}: only plain byte-level BPE files can be read")
+            raise ValueError("only plain byte-level BPE files can be read")
         alphabet = byte_alphabet()
         raw = lambda s: bytes(alphabet[c] for c in s)
         vocab = model["vocab"]
@@ -65,6 +67,7 @@ class Tokenizer:
         for i in reachable:
             self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (len(self.bytes_of[i]), i))
         self.automaton.make_automaton()
+        self.longest = max(len(self.bytes_of[i]) for i in reachable)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
@@ -107,20 +110,27 @@ class Tokenizer:
         self.compatible[key] = good
         return good
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Tokens of one pre-tokenizer piece."""
+    def _starts(self, piece: bytes, low: int, high: int) -> list[list[tuple[int, int]]]:
+        """``(length, token)`` of the tokens that start at each place from ``low`` to ``high``, shorter ones first."""
+        starts: list[list[tuple[int, int]]] = [[] for _ in range(high - low)]
+        for end, (length, token) in self.automaton.iter(piece[low : high + self.longest].decode("latin-1")):
+            at = end - length + 1
+            if at < high - low:
+                starts[at].append((length, token))  # by rising end, so by rising length
+        return starts
+
+    def encode_piece(self, piece: bytes) -> array:
+        """Tokens of one pre-tokenizer piece.  Matches are held for a window of places only, found again if the search goes back behind it,
+        so a piece of any length takes some 15 bytes of memory a byte at most."""
         n = len(piece)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
-            starts[end - length + 1].append((length, token))  # by rising end, so by rising length
         alive = bytearray(b"\x01") * (n + 1)
-        out: list[int] = []
-        picked: list[int] = []  # index into starts[position] of each token taken
-        places: list[int] = []
+        out, places, picked = array("i"), array("q"), array("h")  # picked: which of the options of its place each token is
+        low, high = 0, min(n, WINDOW)
+        starts = self._starts(piece, low, high)
         known, last = self.compatible.get, None
         pos, i = 0, len(starts[0]) - 1 if n else 0
         while pos < n:
-            options = starts[pos]
+            options = starts[pos - low]
             while i >= 0:
                 length, token = options[i]
                 if alive[pos + length]:
@@ -130,16 +140,22 @@ class Tokenizer:
                     if self.fits(last, token) if good is None else good:
                         break
                 i -= 1
-            if i >= 0:
+            forward = i >= 0
+            if forward:
                 out.append(token)
                 picked.append(i)
                 places.append(pos)
                 pos, last = pos + length, token
-                i = len(starts[pos]) - 1 if pos < n else 0
             else:
                 alive[pos] = 0
                 out.pop()
                 pos, i, last = places.pop(), picked.pop() - 1, out[-1] if out else None
+            if not low <= pos < high and pos < n:
+                low = max(0, pos - WINDOW // 2)
+                high = min(n, low + WINDOW)
+                starts = self._starts(piece, low, high)
+            if forward:
+                i = len(starts[pos - low]) - 1 if pos < n else 0
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -176,7 +192,7 @@ class _Pieces(dict):
         self.tokenizer = tokenizer
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("i", self.tokenizer.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+        ids = self.tokenizer.encode_piece(piece.encode("utf-8", "surrogatepass")).tobytes()
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED:
                 self.clear()
@@ -185,8 +201,24 @@ class _Pieces(dict):
 
 
 @lru_cache(maxsize=2)
+def _of(raw_file: bytes) -> Tokenizer:
+    return Tokenizer(raw_file)
+
+
+def _read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+    """The tokenizer of a vocabulary file on this machine."""
+    return _of(_read(path))
+
+
+def _shipped(df: DataFrame, path: str) -> Callable[[], Tokenizer]:
+    """The tokenizer of a file that only the driver needs to have: its contents travel by broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast(_read(path))
+    return lambda: _of(shared.value)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", tokens: str = "tokens") -> DataFrame:
@@ -194,8 +226,10 @@ def encode(df: DataFrame, path: str, text: str = "text", tokens: str = "tokens")
 
     Null and empty texts give an empty array; other columns and repeated rows stay as they are."""
 
+    tokenizer_here = _shipped(df, path)
+
     def start():
-        tok = tokenizer(path)
+        tok = tokenizer_here()
 
         def work(batch):
             ids = [tok.encode(t) if t else np.zeros(0, np.int32) for t in (x.decode() if x else "" for x in batch.column(0).to_pylist())]
@@ -209,8 +243,10 @@ def encode(df: DataFrame, path: str, text: str = "text", tokens: str = "tokens")
 def decode(df: DataFrame, path: str, tokens: str = "tokens", text: str = "decoded") -> DataFrame:
     """Append the text of the token ids (null: empty); bytes that are no UTF-8 become U+FFFD."""
 
+    tokenizer_here = _shipped(df, path)
+
     def start():
-        tok = tokenizer(path)
+        tok = tokenizer_here()
 
         def work(batch):
             return [pa.array([tok.decode(np.array(x or [], dtype=np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()], pa.string())]
@@ -223,8 +259,10 @@ def decode(df: DataFrame, path: str, tokens: str = "tokens", text: str = "decode
 def round_trip(df: DataFrame, path: str, text: str = "text", tokens: str = "tokens", decoded: str = "decoded", without: tuple[str, ...] = ()) -> DataFrame:
     """:func:`encode` followed by :func:`decode` in one pass over the batches; columns in ``without`` are left out."""
 
+    tokenizer_here = _shipped(df, path)
+
     def start():
-        tok = tokenizer(path)
+        tok = tokenizer_here()
 
         def work(batch):
             ids = [tok.encode(x.decode()) if x else np.zeros(0, np.int32) for x in batch.column(0).to_pylist()]

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from cohesia.llm import bpe, decontam, embed_dedup, lm_score, pii, quality, shards, simhash, toxicity, warc
 from cohesia.llm.common import table
 
-#: Vocabulary files; a parameter of the BPE operators.
-TOKENIZERS = os.environ.get("COHESIA_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: Vocabulary file; a parameter of the BPE operators.
+BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_bpe(spark, sf_dir):

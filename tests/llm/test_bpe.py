@@ -1,6 +1,6 @@
 import hashlib
-import os
 import random
+import resource
 
 import numpy as np
 import pytest
@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from cohesia.llm import bpe, queries
 
-pytestmark = pytest.mark.skipif(not os.path.exists(queries.BYTE_BPE), reason="no vocabulary file")
-
-
 @pytest.fixture(scope="module")
 def both():
     from tokenizers import Tokenizer
@@ -37,6 +34,23 @@ def test_long_runs(both, s):
     assert own.encode(s).tolist() == lib.encode(s, add_special_tokens=False).ids
 
 
+def test_window_is_narrower_than_the_search(both, monkeypatch):
+    own, lib = both
+    rnd = random.Random(6)
+    for width in (1, 2, 7, 64):
+        monkeypatch.setattr(bpe, "WINDOW", width)
+        for _ in range(60):
+            s = "".join(rnd.choice("aab ehtinsrléABé") for _ in range(rnd.randint(1, 300))).replace(" ", "")
+            assert own.encode_piece(s.encode()).tolist() == lib.encode(s, add_special_tokens=False).ids
+
+
+def test_memory_of_a_very_long_piece(both):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ids = both[0].encode("a" * 3_000_000)
+    assert both[0].decode(ids) == b"a" * 3_000_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # kB; tokens of 8 bytes would take 24 bytes each
+
+
 def test_decode_of_broken_bytes(both):
     own, lib = both
     ids = [i for i, b in own.bytes_of.items() if len(b) == 1][100:140]
