@@ -13,7 +13,7 @@ def held_out(id_col: str, folds: int, fold: int) -> F.Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int, fold: int) -> DataFrame:
-    """``(doc_id, text, label)``: about ``most`` labelled training rows at most, chosen by a hash of the id.
+    """``(doc_id, text, label)``: about ``most`` labelled training rows at most, chosen by a hash of the id, one an id (the least text).
 
     Rows of the held-out fold, without id, text or a 0/1 label are never taken."""
     y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
@@ -22,7 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, f
     share = min(1.0, most / max(n, 1))
     cutoff = int(share * (1 << 31))
     y = y.where(F.pmod(F.xxhash64(F.lit(label), "doc_id"), F.lit(1 << 31)) < cutoff)
-    return docs.select("doc_id", "text").where("text is not null").join(y, "doc_id")
+    return docs.select("doc_id", "text").where("text is not null").join(y, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def sigmoid(x):
