@@ -50,12 +50,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/cohesia/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back (same schema, no lineage)."""
     spark = df.sparkSession
     reach_workers(spark)
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     back = spark.read.schema(df.schema).parquet(path)
     back._cohesia_path = path
     return back
