@@ -19,8 +19,8 @@ def h_index(values: Column) -> Column:
 
 
 def seeded_order(seed: int, *columns: str) -> Column:
-    """A pseudo-random order that is the same on every run and every partitioning."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
+    """A pseudo-random order that is the same on every run, every partitioning and every engine: MD5 of the seed and the values."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
 def seconds(text: Column) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from cohesia.operators.graph import closed_neighbourhood
 
+#: Implementations that a timing table has columns for.
+MOST_COLUMNS = 1000
+
 
 def jaccard_of_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, distance)`` between result sets ``(*keys, id)``; a key that occurs on one side only has distance 1."""
@@ -34,6 +37,12 @@ def jaccard_of_answers(a: DataFrame, b: DataFrame, comp: DataFrame) -> DataFrame
     return out.select("query_id", F.coalesce("d", empty).alias("distance"))
 
 
+def agreement(a: DataFrame, b: DataFrame, c: DataFrame, comp: DataFrame) -> DataFrame:
+    """``(query_id, d12, d13, d23)``: distances between the answers of three implementations to each query."""
+    pair = lambda x, y, name: jaccard_of_answers(x, y, comp).withColumnRenamed("distance", name)
+    return pair(a, b, "d12").join(pair(a, c, "d13"), "query_id", "full").join(pair(b, c, "d23"), "query_id", "full").select("query_id", "d12", "d13", "d23")
+
+
 def community_sizes(named: DataFrame, adj: DataFrame) -> DataFrame:
     """``(k, label, nodes, nbrhood)`` of components ``named(k, label, id)``: vertices, and vertices with those beside them."""
     nodes = named.groupBy("k", "label").agg(F.count("*").alias("nodes"))
@@ -42,6 +51,8 @@ def community_sizes(named: DataFrame, adj: DataFrame) -> DataFrame:
 
 
 def timing_table(times: DataFrame) -> DataFrame:
-    """``(network, op)`` with one column of seconds for each implementation, from ``(network, op, impl, time)``."""
-    impls = [r.impl for r in times.select("impl").distinct().orderBy("impl").limit(1000).collect()]
+    """``(network, op)`` with one column of seconds for each implementation, from ``(network, op, impl, time)``; MOST_COLUMNS implementations at most."""
+    impls = [r.impl for r in times.select("impl").distinct().orderBy("impl").limit(MOST_COLUMNS + 1).collect()]
+    if len(impls) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} implementations")
     return times.groupBy("network", "op").pivot("impl", impls).agg(F.min("time"))

@@ -7,12 +7,14 @@ An empty answer has a null label: unknown vertex, disconnected query, k of 0, or
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohesia.operators.components import SMALL, connected_components
-from cohesia.operators.coreness import coreness, edge_weights
-from cohesia.operators.graph import numbered
+from cohesia.operators.coreness import SMALL as PEELED
+from cohesia.operators.coreness import coreness, edge_weights, lower, peel
+from cohesia.operators.graph import numbered, symmetric
 from cohesia.operators.hierarchy import components_by_level
 from cohesia.storage import cut
 
@@ -89,30 +91,100 @@ def community_edges(edges: DataFrame, named: DataFrame) -> DataFrame:
     return edges.join(at("u"), "u").join(at("v"), ["k", "label", "v"]).select("k", "label", "u", "v")
 
 
-def local_search(queries: DataFrame, edges: DataFrame, adj: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Search without an index, for singleton queries ``(query_id, id, k)``.
-
-    Only the part of the graph that a query can reach over vertices of degree max(k, 1) or more is decomposed; within
-    it core numbers of at least k are exact.  Parts are shared by the queries of one k.  Returns ``(query_id, k, visited)``, k being the core number
-    of the vertex (0: none, or below the k asked for), and ``(query_id, id)`` of the communities."""
-    asked = cut(queries.select("query_id", "id", F.greatest(F.coalesce("k", F.lit(1)), F.lit(1)).alias("t")), "local-asked")
-    degree = adj.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    strong = cut(degree.join(asked.select("t").distinct(), F.col("degree") >= F.col("t")).select("t", "id").withColumn("key", F.monotonically_increasing_id()), "local-strong")
-    of = lambda c: strong.select("t", F.col("id").alias(c), F.col("key").alias(c + "_key"))
-    inner = cut(edges.join(of("u"), "u").join(of("v"), ["t", "v"]).select("u_key", "v_key"), "local-edges")
-    part = cut(connected_components(inner, "u_key", "v_key", SMALL).withColumnRenamed("id", "key"), "local-parts")
-    where = cut(asked.join(strong, ["t", "id"], "left").join(part, "key", "left").select("query_id", "t", "key", "component"), "local-where")
-    reached = cut(part.join(where.select("component").distinct(), "component", "left_semi"), "local-reached")
-    region = cut(inner.join(reached.select(F.col("key").alias("u_key")), "u_key", "left_semi").select(F.col("u_key").alias("u"), F.col("v_key").alias("v")), "local-region")
-    both = region.unionAll(region.select(F.col("v").alias("u"), F.col("u").alias("v"))).toDF("src", "dst")
-    core = cut(coreness(both), "local-core")
-    comp = cut(components_by_level(region, core, edge_weights(region, core)), "local-comp")
-    size = reached.groupBy("component").agg(F.count("*").alias("visited"))
-    rows = where.join(core.withColumnRenamed("id", "key"), "key", "left").join(size, "component", "left")
-    k = F.when(F.coalesce("core", F.lit(0)) >= F.col("t"), F.col("core")).otherwise(0).cast("int")
-    rows = cut(rows.select("query_id", "key", k.alias("k"), F.coalesce("visited", F.when(F.col("key").isNotNull(), 1).otherwise(0)).cast("long").alias("visited")), "local-rows")
-    own = comp.select("k", F.col("id").alias("key"), "label")
-    found = rows.where("k > 0").join(own, ["k", "key"]).select("query_id", "k", "label")
-    keys = strong.select("key", "id")
-    listed = found.join(comp.withColumnRenamed("id", "key"), ["k", "label"]).join(keys, "key").select("query_id", "id")
-    return rows.select("query_id", "k", "visited"), listed
+def local_search(queries: DataFrame, edges: DataFrame, adj: DataFrame, small: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Search without an index, for singleton queries ``(query_id, id, k)``, by two bounds.
+
+    Every query grows from its vertex, one step a round.  Above, the core number of a vertex is bounded by the h-index of its neighbours'
+    degrees; below, that of the query's vertex by its core number among the vertices reached so far, and by the k asked for.  Vertices whose upper bound is below the
+    query's lower bound are neither entered nor passed through: none of them is in the community.  When nothing is left to enter, the core
+    decomposition of what was reached gives the exact answer.
+
+    Returns ``(query_id, k, visited)``, k being the core number of the vertex (0: none, or below the k asked for), visited the vertices entered,
+    and ``(query_id, id)`` of the communities.  A graph measured to have at most ``small`` directed edges is searched in one task."""
+    asked = cut(queries.select("query_id", F.col("id").cast("long"), F.greatest(F.coalesce("k", F.lit(1)), F.lit(1)).cast("long").alias("t")), "local-asked")
+    if adj.count() <= (PEELED if small is None else small):
+        tagged = adj.select(F.lit(None).cast("long").alias("query_id"), F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"))
+        both = tagged.unionAll(asked.select(F.col("query_id").cast("long"), "id", "t")).coalesce(1)
+        found = cut(both.mapInArrow(_local_task, "query_id long, k int, visited long, id long"), "local-found")
+        return found.where("id is null").select("query_id", "k", "visited"), found.where("id is not null").select("query_id", "id")
+    degrees = adj.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("h")).withColumn("moved", F.lit(True))
+    upper = cut(lower(adj, degrees).select("id", F.col("h").alias("upper")), "local-upper")
+    low = cut(asked.select("query_id", F.col("id").alias("root"), F.col("t").alias("low")), "local-low")
+    seen = new = cut(asked.join(upper, "id").where(F.col("upper") >= F.col("t")).select("query_id", "id", "upper"), "local-seen")
+    while True:
+        live = new.join(low, "query_id").where(F.col("upper") >= F.col("low")).select("query_id", F.col("id").alias("src"), "low")
+        near = live.join(adj, "src").select("query_id", F.col("dst").alias("id"), "low").distinct().join(upper, "id").where(F.col("upper") >= F.col("low"))
+        new = cut(near.join(seen, ["query_id", "id"], "left_anti").select("query_id", "id", "upper"), "local-new")
+        if new.isEmpty():
+            break
+        seen = cut(seen.unionByName(new), "local-seen")
+        _, _, core = _regions(seen, low, edges)
+        low = cut(low.join(core, "query_id", "left").select("query_id", "root", F.greatest("low", F.coalesce("root_core", F.lit(0)).cast("long")).alias("low")), "local-low")
+    keys, region, core = _regions(seen, low, edges)
+    visited = seen.groupBy("query_id").agg(F.count("*").alias("visited"))
+    k = F.when(F.coalesce("root_core", F.lit(0)) >= F.col("t"), F.col("root_core")).otherwise(0).cast("int")
+    rows = cut(asked.join(core, "query_id", "left").join(visited, "query_id", "left").select("query_id", k.alias("k"), F.coalesce("visited", F.lit(0)).alias("visited"), "root_key"), "local-rows")
+    cores = cut(coreness(symmetric(region)), "local-core")
+    comp = cut(components_by_level(region, cores, edge_weights(region, cores)), "local-comp").withColumnRenamed("id", "key")
+    own = rows.where("k > 0").join(comp, (F.col("key") == F.col("root_key")) & (rows["k"] == comp["k"])).select("query_id", rows["k"], "label")
+    return rows.select("query_id", "k", "visited"), own.join(comp, ["k", "label"]).join(keys.select("key", "id"), "key").select("query_id", "id")
+
+
+def _regions(seen: DataFrame, low: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What each query may still need: ``(query_id, id, key)`` with keys of its own, edges ``(u, v)`` of keys, and ``(query_id, root_key, root_core)``."""
+    kept = seen.join(low, "query_id").where(F.col("upper") >= F.col("low")).select("query_id", "id", (F.col("id") == F.col("root")).alias("is_root"))
+    keys = cut(kept.withColumn("key", F.monotonically_increasing_id()), "local-keys")
+    of = lambda c: keys.select("query_id", F.col("id").alias(c), F.col("key").alias(c + "_key"))
+    region = cut(edges.join(of("u"), "u").join(of("v"), ["query_id", "v"]).select(F.col("u_key").alias("u"), F.col("v_key").alias("v")), "local-region")
+    root = keys.where("is_root").select("query_id", F.col("key").alias("root_key"))
+    core = coreness(symmetric(region)).select(F.col("id").alias("root_key"), F.col("core").alias("root_core"))
+    return keys, region, root.join(core, "root_key")
+
+
+def _local_task(batches):
+    """:func:`local_search` of a small graph: rows ``(null, src, dst)`` and ``(query, vertex, k)``."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if not parts:
+        return
+    query, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    is_edge = np.isnan(query) if query.dtype.kind == "f" else np.zeros(len(query), bool)
+    order = np.argsort(a[is_edge], kind="stable")
+    src, dst = a[is_edge][order], b[is_edge][order]
+    ids, starts, degree = np.unique(src, return_index=True, return_counts=True)
+    near = np.searchsorted(ids, dst)
+    falling = degree[near]
+    place = {int(x): i for i, x in enumerate(ids)}
+    upper: dict[int, int] = {}
+
+    def bound(v: int) -> int:
+        if v not in upper:
+            d = np.sort(falling[starts[v] : starts[v] + degree[v]])[::-1]
+            upper[v] = int((d >= np.arange(1, len(d) + 1)).sum())
+        return upper[v]
+
+    def beside(v: int) -> list[int]:
+        return near[starts[v] : starts[v] + degree[v]].tolist()
+
+    def cores(members: set[int]) -> dict[int, int]:
+        pairs = [(v, w) for v in members for w in beside(v) if w in members]
+        found = peel(*(np.array(x) for x in zip(*pairs, strict=True))) if pairs else ((), ())
+        return dict(zip(*(list(map(int, x)) for x in found), strict=True))
+
+    for q, vertex, low in zip(query[~is_edge].astype(np.int64).tolist(), a[~is_edge].tolist(), b[~is_edge].tolist(), strict=True):
+        asked, root = low, place.get(vertex)
+        seen = {root} if root is not None and bound(root) >= low else set()
+        new = set(seen)
+        while new:
+            new = {w for v in new if bound(v) >= low for w in beside(v) if w not in seen and bound(w) >= low}
+            if new:
+                seen |= new
+                low = max(low, cores({v for v in seen if bound(v) >= low}).get(root, 0))
+        core = cores({v for v in seen if bound(v) >= low})
+        k = core.get(root, 0) if core.get(root, 0) >= asked else 0
+        found, todo = ({root}, [root]) if k else (set(), [])
+        while todo:
+            more = {w for w in beside(todo.pop()) if core.get(w, 0) >= k} - found
+            found |= more
+            todo += more
+        n = 1 + len(found)
+        yield pa.RecordBatch.from_arrays([pa.array([q] * n, pa.int64()), pa.array([k] * n, pa.int32()), pa.array([len(seen)] * n, pa.int64()), pa.array([None, *ids[sorted(found)].tolist()], pa.int64())], names=["query_id", "k", "visited", "id"])

@@ -10,7 +10,7 @@ from cohesia.operators.graph import quantile_nearest
 
 
 def sample(frame: DataFrame, n: int, seed: int, column: str = "id") -> DataFrame:
-    """n rows chosen by a seeded hash of a column: the same rows on every run."""
+    """n rows chosen by a seeded hash of a column: the same rows on every run; all rows if there are no more."""
     return frame.orderBy(seeded_order(seed, column), column).limit(n)
 
 

@@ -299,31 +299,38 @@ def community_numbers(spark, d):
     return search.community_ids(search.multi_search(order_queries(spark, d), x.comp, x.core))
 
 
-@query(with_comp("select a.k, a.label, e0.u, e0.v from e0 join comp a on a.id = e0.u join comp b on b.id = e0.v and a.k = b.k and a.label = b.label where a.k = 3"))
+@query(with_comp("select a.k, a.label, e0.u, e0.v from e0 join comp a on a.id = e0.u join comp b on b.id = e0.v and a.k = b.k and a.label = b.label"))
 def community_edge_list(spark, d):
+    """Edges inside the components of every level."""
     x = Index(copurchase(spark, d))
-    return search.community_edges(x.edges, x.comp.where("k = 3"))
+    return search.community_edges(x.edges, x.comp)
 
 
-LOCAL = """, top as (select u id, count(*) degree from e group by u order by count(*) desc, u limit 10),
-reach(id, v) as (select id, id from top union select r.id, e.v from reach r join e on e.u = r.v),
-seen as (select id, count(*) visited from reach group by id)"""
+def _local(spark, d):
+    """Local searches from the hundred vertices of highest degree, each for its core number."""
+    edges = cut(copurchase(spark, d))
+    adj = graph.symmetric(edges)
+    asked = workload.ranked_singletons(graph.degree(adj), 100).select(F.col("id").alias("query_id"), "id", F.lit(1).alias("k"))
+    return search.local_search(asked, edges, adj)
+
 
+TOP = ", top as (select u id from e group by u order by count(*) desc, u limit 100)"
 
-@query(with_comp(LOCAL + " select top.id as query_id, core::int as k, visited from top join core using (id) join seen using (id)"))
+
+@query(with_comp(TOP + " select top.id as query_id, core::int as k from top join core using (id)"))
 def local_kcore(spark, d):
-    edges = cut(copurchase(spark, d))
-    adj = graph.symmetric(edges)
-    asked = workload.ranked_singletons(graph.degree(adj), 10).select(F.col("id").alias("query_id"), "id", F.lit(1).alias("k"))
-    return search.local_search(asked, edges, adj)[0]
+    return _local(spark, d)[0].select("query_id", "k")
 
 
-@query(with_comp(LOCAL + " select top.id as query_id, b.id from top join core using (id) join comp a on a.id = top.id and a.k = core.core join comp b on b.k = a.k and b.label = a.label"))
+@query(with_comp(TOP + " select top.id as query_id, b.id from top join core using (id) join comp a on a.id = top.id and a.k = core.core join comp b on b.k = a.k and b.label = a.label"))
 def local_kcore_communities(spark, d):
-    edges = cut(copurchase(spark, d))
-    adj = graph.symmetric(edges)
-    asked = workload.ranked_singletons(graph.degree(adj), 10).select(F.col("id").alias("query_id"), "id", F.lit(1).alias("k"))
-    return search.local_search(asked, edges, adj)[1]
+    return _local(spark, d)[1]
+
+
+@query()
+def local_kcore_visited(spark, d):
+    """Vertices that each local search entered; what the bounds spare has no twin in SQL."""
+    return _local(spark, d)[0]
 
 
 @query(with_graph(", m as (select row_number() over (order by u) - 1 as id, u as orig from (select distinct u from e)), " + "t as (select u id, count(*) degree from e group by u) select m.orig as id, degree from m join t on t.id = m.orig"))
@@ -355,10 +362,50 @@ def workload_sampled_sets(spark, d):
     return workload.neighbour_sets(adj, workload.ranked_singletons(graph.degree(adj), 10), 5)
 
 
-@query()
-def workload_random(spark, d):
-    """Seeded random singletons; the hash has no twin in SQL."""
-    return workload.singletons(graph.degree(graph.symmetric(copurchase(spark, d))), 50, 1337, high=False, k=10)
+def _sampled(size: int, seed: int, high: bool) -> str:
+    """Query text: vertices sampled by the MD5 of seed and id, of the top percent by degree or of all."""
+    limit = ", g as (select u id, count(*) degree from e group by u), r as (select degree, row_number() over (order by degree) - 1 i, count(*) over () n from g)"
+    where = "where degree >= (select min(degree) from r where i >= round_even(0.99 * (n - 1), 0))" if high else ""
+    return f"{limit}, picked as (select id, row_number() over (order by md5('{seed}:' || id), id) - 1 as place from g {where} order by place limit {size})"
+
+
+def _workload(name: str, size: int, seed: int, high: bool, k: int | None) -> None:
+    """Register ``size`` seeded singleton queries."""
+
+    def f(spark, d):
+        return workload.singletons(graph.degree(graph.symmetric(cut(copurchase(spark, d)))), size, seed, high=high, k=k)
+
+    f.__name__ = name
+    query(with_graph(_sampled(size, seed, high) + f" select place as query_id, {'null' if k is None else k}::int as kmin, [id]::bigint[] as q from picked"))(f)
+
+
+_workload("workload_random", 50, 1337, False, 10)
+for _n in (1, 10, 100):
+    _workload(f"workload_high_{_n}", _n, 1234, True, None)
+    _workload(f"workload_rand_{_n}", _n, 5678, False, None)
+
+
+def _high_roots(adj: DataFrame) -> DataFrame:
+    return workload.sample(workload.high_degree(graph.degree(adj)), 10, 1234).select("id")
+
+
+@query(with_graph(_sampled(10, 1234, True) + " select picked.id as query_id, list(e.v order by e.v)::bigint[] as q from picked join e on e.u = picked.id group by picked.id"))
+def workload_high_sets(spark, d):
+    """All neighbours of ten roots sampled from the top percent by degree."""
+    adj = graph.symmetric(cut(copurchase(spark, d)))
+    return workload.neighbour_sets(adj, _high_roots(adj))
+
+
+@query(
+    with_graph(
+        _sampled(10, 1234, True)
+        + ", near as (select picked.id, e.v, row_number() over (partition by picked.id order by md5('5678:' || picked.id || ':' || e.v), e.v) i from picked join e on e.u = picked.id) select id as query_id, list(v order by v)::bigint[] as q from near where i <= 5 group by id"
+    )
+)
+def workload_high_sampled_sets(spark, d):
+    """Five sampled neighbours of each of the same roots."""
+    adj = graph.symmetric(cut(copurchase(spark, d)))
+    return workload.neighbour_sets(adj, _high_roots(adj), 5, 5678)
 
 
 SIZES = ", nb as (select k, label, id from comp union select c.k, c.label, e.v from comp c join e on e.u = c.id) select k, label, nodes, nbrhood from (select k, label, count(*) nodes from comp group by k, label) join (select k, label, count(*) nbrhood from nb group by k, label) using (k, label)"
@@ -386,6 +433,17 @@ def jaccard_distance(spark, d):
     return analysis.jaccard_of_answers(own, two.select("query_id", F.coalesce("level", F.lit(0)).alias("k"), "label"), x.comp)
 
 
+@query(with_answers("select query_id, case when k > 0 and any_label is not null and label is null then 1.0 else 0.0 end::double as d12, 0.0::double as d13, case when k > 0 and any_label is not null and label is null then 1.0 else 0.0 end::double as d23 from answers"))
+def agreement(spark, d):
+    """Three implementations of one batch: components with the kmin rule, components without it, and the shell tree with it."""
+    x = Index(copurchase(spark, d))
+    batch = order_queries(spark, d)
+    with_rule = cut(search.multi_search(batch, x.comp, x.core))
+    without = cut(search.multi_search(batch.withColumn("kmin", F.lit(0)), x.comp, x.core))
+    tree = cut(search.index_search(batch, x.members, x.ancestors, x.core))
+    return analysis.agreement(with_rule, without, tree, x.comp)
+
+
 @query("with a as (select distinct l_orderkey k, l_partkey id from lineitem where l_quantity > 25), b as (select distinct l_orderkey k, l_partkey id from lineitem where l_discount > 0.04), j as (select coalesce(a.k, b.k) k, count(*) filter (a.id is not null and b.id is not null) i, count(*) u from a full join b on a.k = b.k and a.id = b.id group by 1) select k as l_orderkey, 1 - i / u::double as distance from j")
 def set_overlap(spark, d):
     """Distance of two result sets for each key, over whole tables."""
@@ -403,18 +461,42 @@ def edge_file_round_trip(spark, d):
     return readers.delimited_edges(spark, path, ";", True).select(*canonical("u", "v"))
 
 
-@query("select l_orderkey as query_id, least(count(distinct l_partkey), 3)::int as kmin, list(distinct l_partkey order by l_partkey)::bigint[] as q from lineitem where l_quantity > 40 group by l_orderkey")
+@query("select row_number() over (order by l_orderkey) - 1 as query_id, least(count(distinct l_partkey), 3)::int as kmin, list(distinct l_partkey order by l_partkey)::bigint[] as q from lineitem where l_quantity > 40 group by l_orderkey")
 def query_file_round_trip(spark, d):
-    sets = order_queries(spark, d)
-    lines = sets.select(F.col("query_id").alias("line"), F.concat_ws(" ", "kmin", F.array_join(F.col("q").cast("array<string>"), ",")).alias("value"))
-    return readers.parse_queries(lines)
+    """Queries written one a line into a folder of files and read back, numbered by their lines."""
+    path = new_path(spark, "queries")
+    writers.queries_text(order_queries(spark, d), path)
+    return readers.query_file(spark, path)
 
 
-@query(with_tree("select core, label, parent_core, parent_label, depth, size from nodes"))
+@query(with_core("select row_number() over (order by id) - 1 as id, core::bigint as core from core"))
+def positional_round_trip(spark, d):
+    """Core numbers of dense ids written one a line into a folder of files and read back by their places."""
+    x = Index(copurchase(spark, d))
+    path = new_path(spark, "positions")
+    writers.positional_text(x.core, "core", path)
+    return readers.positional(spark, path, "core")
+
+
+@query(
+    with_tree(
+        "select 'core' as part, id as a, core::bigint as b, null::bigint as c, null::bigint as d, null::int as depth, null::bigint as size from core "
+        "union all select 'comp', k, id, label, null, null, null from comp union all select 'members', id, core, label, null, null, null from members "
+        "union all select 'ancestors', core, label, anc_core, anc_label, null, null from anc union all select 'nodes', core, label, parent_core, parent_label, depth, size from nodes"
+    )
+)
 def index_round_trip(spark, d):
+    """All tables of an index, written and read back, one below the other."""
     path = new_path(spark, "index")
     writers.save_index(Index(copurchase(spark, d)).tables(), path)
-    return readers.load_index(spark, path)["nodes"]
+    out = None
+    for name, table in readers.load_index(spark, path).items():
+        keys = [c for c in table.columns if c not in ("depth", "size")]
+        four = [F.col(c).cast("long").alias(x) for c, x in zip(keys, "abcd", strict=False)] + [F.lit(None).cast("long").alias(x) for x in "abcd"[len(keys) :]]
+        rest = [(F.col(c) if c in table.columns else F.lit(None)).cast(t).alias(c) for c, t in (("depth", "int"), ("size", "long"))]
+        part = table.select(F.lit(name).alias("part"), *four, *rest)
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 @query("select o_orderkey as file, ((o_orderkey % 100) * 3600 + (o_custkey % 60) * 60 + (o_orderkey % 60) + 0.5)::double as time from orders")
@@ -428,6 +510,18 @@ def wall_clock_times(spark, d):
     return readers.wall_clock(lines)
 
 
+@query("select ((s_suppkey % 100) * 3600 + (s_nationkey % 60) * 60 + (s_suppkey % 60) + 0.5)::double as time, count(*) as n from supplier group by all")
+def wall_clock_log_files(spark, d):
+    """The same read from a folder of log files, one for every supplier."""
+    suppliers = spark.read.parquet(f"{d}/supplier.parquet")
+    two = lambda c: F.lpad((F.col(c) % 60).cast("string"), 2, "0")
+    clock = F.concat_ws(":", F.col("s_suppkey") % 100, two("s_nationkey"), F.concat(two("s_suppkey"), F.lit(".5")))
+    path = new_path(spark, "logs")
+    lines = F.array(F.lit("Maximum resident set size (kbytes): 1024"), F.concat(F.lit("\tElapsed (wall clock) time (h:mm:ss or m:ss): "), clock))
+    suppliers.select("s_suppkey", F.array_join(lines, "\n").alias("value")).write.partitionBy("s_suppkey").text(path)
+    return readers.wall_clock_files(spark, f"{path}/*").groupBy("time").agg(F.count("*").alias("n"))
+
+
 @query("select n_name as network, 'search' as op, (n_nationkey * 1.5)::double as a, (n_regionkey * 60)::double as b from nation")
 def timing_table(spark, d):
     nation = spark.read.parquet(f"{d}/nation.parquet")

@@ -52,8 +52,8 @@ def report_csv(frame: DataFrame, path: str) -> None:
 
 
 def queries_text(queries: DataFrame, path: str, layout: str = "kmin_first") -> None:
-    """One query a line, in the order of the query id."""
+    """One query a line, in the order of the query id; files follow each other by name."""
     ids = F.array_join(F.col("q").cast("array<string>"), ",")
     k = F.col("kmin").cast("string")
     line = F.concat_ws(" ", k, ids) if layout == "kmin_first" else F.concat_ws(" ", ids, k)
-    queries.orderBy("query_id").select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    queries.orderBy("query_id").select(line.alias("value")).write.mode("overwrite").text(path)

@@ -1,29 +1,15 @@
 """Small graphs and plain-Python answers for the tests."""
 
 from collections import defaultdict
+from itertools import accumulate, combinations, pairwise
 
 
 def clique_chain(sizes):
-    """Cliques of the given sizes; a bridge joins the last vertex of each to the first of the next."""
-    edges, first = [], 0
-    for n in sizes:
-        edges += [(first + i, first + j) for i in range(n) for j in range(i + 1, n)]
-        if first:
-            edges.append((first - 1, first))
-        first += n
-    return edges
-
-
-def chain_answer(sizes, query):
-    """(k, vertices) of a query by the closed form: the run of cliques not smaller than the smallest between the ends."""
-    of = [c for c, n in enumerate(sizes) for _ in range(n)]
-    a, b = min(of[v] for v in query), max(of[v] for v in query)
-    least = min(sizes[a : b + 1])
-    while a and sizes[a - 1] >= least:
-        a -= 1
-    while b + 1 < len(sizes) and sizes[b + 1] >= least:
-        b += 1
-    return least - 1, {v for v, c in enumerate(of) if a <= c <= b}
+    """Cliques of the given sizes, next ones joined by an edge between their nearest vertices."""
+    ends = [0, *accumulate(sizes)]
+    inside = [pair for low, high in pairwise(ends) for pair in combinations(range(low, high), 2)]
+    bridges = [(high - 1, high) for high in ends[1:-1]]
+    return inside + bridges
 
 
 def adjacency(edges):
@@ -67,3 +53,16 @@ def search(edges, query):
         if set(query) <= found:
             return k, found
     return 0, set()
+
+
+def all_answers(edges, queries):
+    """Answers of many queries: components of every level first, then the highest that holds the query."""
+    core = core_numbers(edges)
+    levels = []
+    for k in range(max(core.values()), 0, -1):
+        open_ = {v for v in core if core[v] >= k}
+        while open_:
+            found = component(edges, core, k, next(iter(open_)))
+            levels.append((k, found))
+            open_ -= found
+    return [next(((k, c) for k, c in levels if q and set(q) <= c), (0, set())) for q in queries]

@@ -1,4 +1,7 @@
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from cohesia.index import Index
 from cohesia.operators import analysis, graph, hierarchy, search
@@ -77,6 +80,29 @@ def test_results_and_index(spark, tmp_path, put):
     assert len(spark.read.text(f"{tmp_path}/pos").collect()) == 10
 
 
+def test_folders_of_many_files_and_splits(spark, tmp_path):
+    n = 5000
+    frame = spark.createDataFrame([(i, i * 7 % 1000) for i in range(n)], "id long, core long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        writers.positional_text(frame, "core", f"{tmp_path}/pos")
+        assert len([f for f in os.listdir(f"{tmp_path}/pos") if f.startswith("part-")]) > 1
+        assert rows(readers.positional(spark, f"{tmp_path}/pos", "core")) == rows(frame)
+        queries = frame.select(F.col("id").alias("query_id"), F.lit(1).alias("kmin"), F.array("id", "core").alias("q"))
+        writers.queries_text(queries, f"{tmp_path}/qs")
+        assert rows(readers.query_file(spark, f"{tmp_path}/qs")) == rows(queries)
+        (tmp_path / "one.txt").write_bytes(b"".join(b"%d\r\n" % i if i % 3 else b"\n" for i in range(n)))
+        got = readers.positional(spark, f"{tmp_path}/one.txt", "x")
+        assert rows(got) == rows(spark.createDataFrame([(i, i) for i in range(n) if i % 3], "id long, x long"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_timing(spark):
     t = spark.createDataFrame([("n", "index", "a", 1.0), ("n", "index", "b", 2.0), ("m", "index", "a", 3.0)], "network string, op string, impl string, time double")
+    many = spark.range(1001).select(F.lit("n").alias("network"), F.lit("o").alias("op"), F.col("id").cast("string").alias("impl"), F.lit(1.0).alias("time"))
+    with pytest.raises(ValueError):
+        analysis.timing_table(many)
     assert rows(analysis.timing_table(t)) == [("m", "index", 3.0, None), ("n", "index", 1.0, 2.0)]

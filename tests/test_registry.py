@@ -26,7 +26,7 @@ def test_against_sql(spark, data, name):
     duckdb = pytest.importorskip("duckdb")
     sql = entry.oracle_sql()[name]
     con = duckdb.connect()
-    for t in set(re.findall(r"\b(lineitem|orders|nation)\b", sql)):
+    for t in set(re.findall(r"\b(lineitem|orders|nation|supplier)\b", sql)):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]

@@ -5,11 +5,11 @@ import pytest
 from cohesia.index import Index
 from cohesia.operators import analysis, coreness, graph, hierarchy, search
 from cohesia.plans.fixpoint import fixpoint
-from tests.graphs import chain_answer, clique_chain, component, core_numbers
+from tests.graphs import all_answers, clique_chain, component, core_numbers
 from tests.graphs import search as plain_search
 
-CHAINS = {"F1": [3], "F2": [3, 4, 5, 4, 3], "F3": [5, 4, 3, 4, 5], "F5": [3, 4, 3], "F6": [3, 6]}
-LONG = [3, 6, 5, 3, 5, 6, 12, 3, 7, 8, 7, 7, 8, 6, 4, 3, 4, 4, 8]
+CHAINS = {"one": [4], "hill": [3, 5, 6, 5, 3], "valley": [6, 5, 3, 5, 6], "short": [4, 5, 4], "step": [3, 7]}
+LONG = random.Random(17).choices(range(3, 12), k=18)
 
 
 def index(spark, edges):
@@ -34,7 +34,7 @@ def test_chains(spark, name):
     n = sum(sizes)
     x = index(spark, clique_chain(sizes))
     queries = [[v] for v in range(n)] + [[a, b] for a in range(n) for b in range(a + 1, n)]
-    want = {i: (*chain_answer(sizes, q), True) for i, q in enumerate(queries)}
+    want = {i: (*a, True) for i, a in enumerate(all_answers(clique_chain(sizes), queries))}
     assert answers(search.multi_search(batch(spark, queries), x.comp, x.core), x.comp) == want
     assert answers(search.index_search(batch(spark, queries), x.members, x.ancestors, x.core), x.comp) == want
 
@@ -44,18 +44,19 @@ def test_long_chain_all_pairs(spark):
     x = index(spark, clique_chain(LONG))
     queries = [[a, b] for a in range(n) for b in range(a + 1, n)]
     got = answers(search.multi_search(batch(spark, queries), x.comp, x.core), x.comp)
-    assert len(got) == 5886 and got == {i: (*chain_answer(LONG, q), True) for i, q in enumerate(queries)}
-    asked = spark.createDataFrame([(0, 0, 3)], "query_id long, id long, k int")
+    assert len(got) == n * (n - 1) // 2 and got == {i: (*a, True) for i, a in enumerate(all_answers(clique_chain(LONG), queries))}
+    low = sum(LONG[: LONG.index(min(LONG))])
+    asked = spark.createDataFrame([(0, low, min(LONG))], "query_id long, id long, k int")
     assert search.fixed_k_community(asked, x.comp, x.core).first().label is None
 
 
 def test_trees(spark):
-    x = index(spark, clique_chain(CHAINS["F2"]))
+    x = index(spark, clique_chain(CHAINS["hill"]))
     nodes = {(r.core, r.label): (r.parent_core, r.parent_label, r.depth, r["size"]) for r in x.nodes.collect()}
-    assert nodes == {(4, 7): (3, 3, 2, 5), (3, 3): (2, 0, 1, 8), (2, 0): (2, 0, 0, 6)}
-    y = index(spark, clique_chain(CHAINS["F3"]))
-    assert {(r.core, r.label, r.parent_core, r.parent_label) for r in y.nodes.collect()} == {(4, 0, 3, 0), (4, 16, 3, 12), (3, 0, 2, 0), (3, 12, 2, 0), (2, 0, 2, 0)}
-    assert hierarchy.draw(x.nodes).splitlines() == ["2:0 (6)", "  3:3 (8)", "    4:7 (5)"]
+    assert nodes == {(5, 8): (4, 3, 2, 6), (4, 3): (2, 0, 1, 10), (2, 0): (2, 0, 0, 6)}
+    y = index(spark, clique_chain(CHAINS["valley"]))
+    assert {(r.core, r.label, r.parent_core, r.parent_label) for r in y.nodes.collect()} == {(5, 0, 4, 0), (5, 19, 4, 14), (4, 0, 2, 0), (4, 14, 2, 0), (2, 0, 2, 0)}
+    assert hierarchy.draw(x.nodes).splitlines() == ["2:0 (6)", "  4:3 (10)", "    5:8 (6)"]
     two = index(spark, [(0, 1), (1, 2), (0, 2), (10, 11), (11, 12), (10, 12)])
     assert {tuple(r) for r in two.nodes.collect()} == {(0, -1, 0, -1, 0, 0), (2, 0, 0, -1, 1, 3), (2, 10, 0, -1, 1, 3)}
     assert sorted(map(tuple, hierarchy.core_profile(two.nodes).collect())) == [(0, 1, 0), (1, 0, 0), (2, 2, 6)]
@@ -116,15 +117,34 @@ def test_single_vertex_searches_agree(spark):
     free = {r.query_id: (r.k if r.k is not None else 0, r.label) for r in search.fixed_k_community(asked, x.comp, x.core).collect()}
     assert free == by_core
     for k in (1, 2, 3):
-        rows, listed = search.local_search(singles.selectExpr("query_id", "id", f"{k} k"), x.edges, x.adj)
-        sets = {}
-        for r in listed.collect():
-            sets.setdefault(r.query_id, set()).add(r.id)
-        for r in rows.collect():
-            if core.get(r.query_id, 0) >= k:
-                assert r.k == core[r.query_id] and sets[r.query_id] == component(edges, core, r.k, r.query_id) and r.visited >= len(sets[r.query_id])
-            else:
-                assert r.k == 0 and r.query_id not in sets
+        visited = []
+        for small in (0, 10**6):
+            rows, listed = search.local_search(singles.selectExpr("query_id", "id", f"{k} k"), x.edges, x.adj, small)
+            sets = {}
+            for r in listed.collect():
+                sets.setdefault(r.query_id, set()).add(r.id)
+            found = rows.collect()
+            assert len(found) == len(core) + 1
+            for r in found:
+                if core.get(r.query_id, 0) >= k:
+                    assert r.k == core[r.query_id] and sets[r.query_id] == component(edges, core, r.k, r.query_id) and r.visited >= len(sets[r.query_id])
+                else:
+                    assert r.k == 0 and r.query_id not in sets
+            visited.append({r.query_id: r.visited for r in found})
+        assert visited[0] == visited[1]
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_bounds_spare_most_of_a_bridged_chain(spark, small):
+    edges = clique_chain([8, 4, 5, 4, 8, 4, 9])
+    x = index(spark, edges)
+    asked = spark.createDataFrame([(0, 0, 1), (1, 41, 1), (2, 13, 4), (3, 13, 6)], "query_id long, id long, k int")
+    rows, listed = search.local_search(asked, x.edges, x.adj, small)
+    got = {r.query_id: (r.k, r.visited) for r in rows.collect()}
+    # In the first step a query knows no more than its own k; after it, the bridges lead nowhere.
+    assert got[0][0] == 7 and got[1][0] == 8 and got[2][0] == 4 and got[3][0] == 0
+    assert got[0][1] <= 12 and got[1][1] <= 13 and got[2][1] < sum([8, 4, 5, 4, 8, 4, 9]) // 2 and got[3][1] == 0
+    assert {r.id for r in listed.where("query_id = 1").collect()} == set(range(33, 42))
 
 
 def test_analysis(spark):
