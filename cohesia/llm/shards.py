@@ -36,6 +36,7 @@ def pack(units: list[tuple], shards: int) -> dict:
     the residual wins; if none does, the one that exceeds it by least.  :func:`_level` then mends what the order of placing left uneven."""
     if not units:
         return {}
+    units = sorted(units)  # the same places whatever the order of the units
     keys = [u[0] for u in units]
     size = np.array([u[1:] for u in units], dtype=np.float64)
     v = size * shards / np.maximum(size.sum(axis=0), 1)

@@ -1,7 +1,11 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import xxhash
+
 from cohesia.llm import queries, shards
 
 
@@ -53,6 +57,39 @@ def test_pack_against_naive(monkeypatch):
     assert shards.pack([], 3) == {}
 
 
+def test_query_against_plain_python(spark, data):
+    """Groups, cells and units by plain Python; the packing itself is compared with a naive one above."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def chained(*parts):
+        h = 42
+        for x in parts:
+            h = xxhash.xxh64_intdigest(x if isinstance(x, bytes) else x.to_bytes(4, "little"), h)
+        return signed(h)
+
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    key = lambda t: (chained((t or "").encode(), int(t is None)), chained(int(t is None), b"second", (t or "").encode()))
+    vector = lambda t: np.array([len((t or "").encode()) + 1, len((t or "").translate(str.maketrans("\t\n\v\f\r", "     ")).split(" ")) - (t or "").translate(str.maketrans("\t\n\v\f\r", "     ")).split(" ").count(""), 1])
+    groups, total = {}, np.zeros(3, int)
+    for t in rows.values():
+        groups[key(t)] = groups.get(key(t), 0) + vector(t)
+        total += vector(t)
+    units, unit_of = {}, {}
+    for (h1, h2), v in groups.items():
+        share = max(v * 16 / total)
+        assert share <= 1  # none is divided here
+        if share > 1 / shards.LARGE:
+            unit = f"g:{h1 % (1 << 64):X}:{h2 % (1 << 64):X}:0"
+        else:
+            level = min(shards.LEVELS - 1, 31 - math.floor(math.log2((h2 % (1 << 64) >> 33) + 1)))
+            unit = f"c:{level}:{h1 % shards.CELLS}"
+        units[unit] = units.get(unit, 0) + v
+        unit_of[h1, h2] = unit
+    where = shards.pack([(u, *map(int, v)) for u, v in units.items()], 16)
+    for r in queries.op2_shards(spark, data).collect():
+        assert r.shard == where[unit_of[key(rows[r.doc_id])]]
+
+
 def test_query(spark, data):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     rows = queries.op2_shards(spark, data).collect()
