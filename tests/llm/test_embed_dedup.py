@@ -57,6 +57,10 @@ def test_equals_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want = brute(rows)
     assert got(embed_dedup.near_vectors(df)) == want
+    monkeypatch.setattr(embed_dedup, "PART", 30)
+    assert got(embed_dedup.near_vectors(df)) == want
+    monkeypatch.setattr(embed_dedup, "DIRECT", 20)
+    assert got(embed_dedup.near_vectors(df)) == want
     monkeypatch.setattr(embed_dedup, "BLOCK", 16)
     assert got(embed_dedup.near_vectors(df)) == want
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
