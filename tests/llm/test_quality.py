@@ -76,6 +76,51 @@ def test_gradient_is_that_of_the_likelihood():
     assert np.allclose(moved, 0.5 * slope / np.sqrt(slope**2 + 1e-8), atol=1e-3)
 
 
+def plain_quality(model, text):
+    """The score of a text line by line, as the module text says, with sums and recursions in plain Python."""
+    lines = (text or "").encode().split(b"\n")
+    own, seen = [], set()
+    for line in lines:
+        f = [sum(c in chars for c in line) / max(len(line), 1) for chars in quality.CLASSES.values()]
+        w = line.split()
+        if w:
+            f += [0, 1 - len(set(w)) / len(w) if len(w) > 2 else 0, sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w), line in seen]
+            f += [min(len(line) / len(w) / 10, 3), len(w) < 3, np.log1p(len(w)) / 6, w[-1][-1:] in b".!?\"'"]
+            seen.add(line)
+        else:
+            f += [1, 0, 0, 0, 0, 0, 0, 0]
+        own.append(np.array(f, dtype=np.float64))
+    zero, n = np.zeros(quality.OWN), len(own)
+    unary = []
+    for i in range(n):
+        around = [own[i], own[i - 1] if i else zero, own[i + 1] if i + 1 < n else zero]
+        x = np.concatenate([*[(a - model.mean) / model.scale for a in around], [i == 0, i == n - 1, 1]])
+        unary.append(float(x @ model.w))
+    fwd, back = [np.array([0.0, unary[0]])], [np.zeros(2)]
+    for t in range(1, n):
+        fwd.append(np.logaddexp(fwd[-1][0] + model.trans[0], fwd[-1][1] + model.trans[1]) + [0, unary[t]])
+    for t in range(n - 1, 0, -1):
+        x = model.trans + back[0] + [0, unary[t]]
+        back.insert(0, np.logaddexp(x[:, 0], x[:, 1]))
+    good = [1 / (1 + np.exp((f + b)[0] - (f + b)[1])) for f, b in zip(fwd, back, strict=True)]
+    size = [len(x) for x in lines]
+    weight = np.array(size) + 1.0
+    mean = float(np.array(good) @ weight / weight.sum())
+    bad = float((np.array(good) < 0.5) @ weight / weight.sum())
+    z = [np.log((mean + 1e-3) / (1 - mean + 1e-3)), min(good), bad, np.log1p(sum(size)) / 10, 1]
+    return 1 / (1 + np.exp(-float(np.array(z) @ model.calibration)))
+
+
+def test_scores_of_the_query_against_plain_python(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = queries.op9_quality(spark, data).collect()
+    assert len(rows) == len(texts) and model.w.any()
+    for r in rows:
+        assert abs(r.score - plain_quality(model, texts[r.doc_id])) < 1e-3, r.doc_id
+
+
 def test_very_long_texts(monkeypatch):
     model = quality.Model()
     model.w[:] = np.linspace(-1, 1, quality.WEIGHTS)

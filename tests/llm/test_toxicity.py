@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -18,16 +19,13 @@ def distance(a, b):
 
 def brute(word, words, stems):
     near = min((distance(word, w) for w in words if distance(word, w) <= toxicity.edits(w)), default=9)
-    if near == 0:
-        return 0, 0
-    if any(word.startswith(s) for s in stems):
-        return 0, 1
-    return (near, 1 + near) if near < 9 else None
+    begun = min((d for s in stems for k in range(len(word) + 1) if (d := distance(word[:k], s)) <= toxicity.stem_edits(s)), default=9)
+    return next((answer for holds, answer in ((near == 0, (0, 0)), (begun == 0, (0, 1)), (near == 1, (1, 2)), (begun == 1, (1, 4)), (near == 2, (2, 3))) if holds), None)
 
 
 def test_automaton_equals_edit_distance():
     rnd = random.Random(4)
-    words, stems = ["abcab", "abcabcab", "bca", "cabba", "aabbccaabb"], ["acc", "bbba"]
+    words, stems = ["abcab", "abcabcab", "bca", "cabba", "aabbccaabb"], ["acc", "bbba", "cabca"]
     automaton = toxicity.Automaton(words, stems)
     for _ in range(6000):
         base = rnd.choice(words + stems)
@@ -49,6 +47,68 @@ def test_misspelling_and_quotation():
     assert quoted[0][2] and not plain[0][2] and plain[0][3]
 
 
+def plain_score(model, text):
+    """The score of a text by edit distances of every word, without automaton, trie or caches."""
+    words = (text or "").split()
+    known = {}
+    for w in words:
+        b = toxicity.bare(w)
+        if b not in known:
+            known[b] = brute(b, [x for x in model.words if abs(len(x) - len(b)) <= 2], model.stems)
+    count = {(k, q): 0 for k in range(len(toxicity.KINDS)) for q in (False, True)}
+    addressed = 0
+    for i, w in enumerate(words):
+        if (found := known[toxicity.bare(w)]) is None:
+            continue
+        before, after = words[max(0, i - toxicity.WINDOW) : i], words[i + 1 : i + 1 + toxicity.WINDOW]
+        opens = any(x[0] in toxicity.OPEN for x in [*before, w]) and not any(x[-1] in toxicity.CLOSE and x[0] not in toxicity.OPEN for x in before)
+        closes = any(x.rstrip(".,;:!?")[-1:] in toxicity.CLOSE for x in [w, *after])
+        near = {toxicity.bare(x) for x in before + after}
+        quoted = (opens and closes) or bool(near & toxicity.REPORTING)
+        count[found[1], quoted] += 1
+        addressed += bool(near & toxicity.ADDRESS)
+    kinds = range(len(toxicity.KINDS))
+    plain = [count[k, False] for k in kinds]
+    x = [math.log1p(n) for n in plain] + [math.log1p(count[k, True]) for k in kinds] + [min(n / max(1, len(words)) * 50, 3) for n in plain]
+    x += [math.log1p(addressed), any(plain[:2]), any(plain[2:])]
+    z = sum(a * b for a, b in zip([*x, 1], model.weights, strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_of_the_query_against_plain_search(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    if not model.words:  # few labels: any lexicon will do
+        model = toxicity.Model(["idiot", "disgusting", "loser"], ["patheti", "mor"], np.linspace(-1, 1, toxicity.FEATURES + 1))
+        rows = toxicity.score(docs.select("doc_id", "text"), model).collect()
+    else:
+        rows = queries.op6_toxicity(spark, data).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert math.isclose(r.score, plain_score(model, texts[r.doc_id]), abs_tol=1e-9), r.doc_id
+
+
+def test_lexicon_follows_the_data(spark):
+    """A hundred equally rare insults and an inflected one; ties are settled by the term."""
+    rnd = random.Random(7)
+    plain = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(4, 9))) for _ in range(400)]
+    insults = ["z" + "".join(rnd.choice("klmnopqrst") for _ in range(6)) for _ in range(100)]
+    say = lambda *more: " ".join([*rnd.choices(plain, k=25), *more])
+    rows = [(i, say(insults[i % 100])) for i in range(1000)] + [(1000 + i, say("xurbok" + rnd.choice(["", "s", "ing", "ed"]))) for i in range(200)]
+    rows += [(2000 + i, say()) for i in range(5000)] + [(8000 + i, "qqcopied qqtoxic qqtext") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i < 2000 or i >= 8000)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    assert len(set(insults) & set(model.words)) >= 90 and not set(plain) & set(model.words)
+    assert not any(w.startswith("qq") for w in model.words)  # one text, however many copies
+    assert any("xurbok".startswith(s) for s in model.stems) and "xurbok" in model.words
+    automaton = model.automaton()
+    assert automaton.match("xurboks")[0] == 0 and automaton.match("xurbpks") is not None and automaton.match("xurbok") == (0, 0)
+    again = toxicity.train(docs.repartition(7), labels.repartition(3))
+    assert (again.words, again.stems) == (model.words, model.stems)
+
+
 def test_query_learns(spark):
     sf = "/root/testdata/sf0.01"
     label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
