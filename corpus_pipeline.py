@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cohesia.llm import bpe, decontam, pii, quality, simhash
 from cohesia.llm.common import table
 from cohesia.llm.queries import BYTE_BPE
-from cohesia.storage import cut
+from cohesia.storage import cut, drop
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row of the smallest doc_id of each group of near copies."""
+    """Keep one row of each group of near copies: that of the smallest doc_id, rows without one last."""
     return simhash.keep_first(docs)
 
 
@@ -53,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, before = cut(stage(spark, docs, sf_dir), f"stage-{name}"), docs
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
