@@ -105,10 +105,16 @@ def code(word: bytes) -> int:
     return zlib.crc32(word) >> 2
 
 
-def numbers(w: list[bytes], index: dict[bytes, int]) -> np.ndarray:
-    """Places in the head of words and the end after them; others: -1 less their code."""
-    w = [*w, END]
-    return np.fromiter((-1 - code(x) if (i := index.get(x)) is None else i for x in w), np.int32, len(w))
+class _Index(dict):
+    """Places of words in the head; others: -1 less their code."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - code(word)
+
+
+def numbers(w: list[bytes], index: _Index) -> np.ndarray:
+    """Numbers of words and of the end after them."""
+    return np.fromiter(map(index.__getitem__, [*w, END]), np.int32, len(w) + 1)
 
 
 def number_texts(df: DataFrame, head: list[bytes], text: str = "text") -> DataFrame:
@@ -116,7 +122,7 @@ def number_texts(df: DataFrame, head: list[bytes], text: str = "text") -> DataFr
     shared = df.sparkSession.sparkContext.broadcast(head)
 
     def start():
-        index = {w: i for i, w in enumerate(shared.value)}
+        index = _Index((w, i) for i, w in enumerate(shared.value))
 
         def work(batch):
             ids, rare = [], []
@@ -287,6 +293,16 @@ class Model:
         self.within = np.log10(counts / mass[self.cls, self.leaf]) if len(head) else np.zeros(0)
         self.base = np.log10(counts + 1.0)
 
+    def __getstate__(self):
+        """Weights travel in half precision, in which :func:`fit_weights` keeps them, and not at all before they are fitted."""
+        return self.__dict__ | {k: (getattr(self, k).shape, getattr(self, k).astype(np.float16) if getattr(self, k).any() else None) for k in ("w", "u")}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        for k in ("w", "u"):
+            shape, values = state[k]
+            setattr(self, k, np.zeros(shape, np.float32) if values is None else values.astype(np.float32))
+
     def targets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and leaf of every token."""
         known, at = ids >= 0, np.maximum(ids, 0)
@@ -312,15 +328,19 @@ class Model:
         return [(((x := (m * 0x2545F4914F6CDD1D) ^ own) ^ (x >> 31)) >> 13) & (self.inner - 1) for m in history]
 
     @staticmethod
-    def shares(tables: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-        """Softmax over the columns of the sums of the rows of all tables."""
+    def exp_scores(tables: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of the sums of the rows of all tables, and their totals over the columns."""
         s = tables[0].take(rows[0], axis=0)
         for t in range(1, TABLES):
             s += tables[t].take(rows[t], axis=0)
         s += bias
         np.exp(s, out=s)
-        s /= (s @ np.ones(s.shape[1], np.float32))[:, None]
-        return s
+        return s, s @ np.ones(s.shape[1], np.float32)
+
+    def share(self, tables: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Softmax of the columns ``y``."""
+        s, total = self.exp_scores(tables, rows, bias)
+        return s[np.arange(len(y)), y].astype(np.float64) / total
 
     def log10(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 of the probability of the class and the leaf of each token, each mixed with its corpus share, and of a head word in its leaf."""
@@ -329,9 +349,8 @@ class Model:
         out = np.empty(len(ids))
         for k in range(0, len(ids), BATCH):
             h, a, b = [x[k : k + BATCH] for x in history], y[k : k + BATCH], leaf[k : k + BATCH]
-            rows = np.arange(len(a))
-            p = self.shares(self.w, self.class_rows(h), self.bias)[rows, a].astype(np.float64)
-            q = self.shares(self.u, self.leaf_rows(h, a), self.leaf_bias[a])[rows, b].astype(np.float64)
+            p = self.share(self.w, self.class_rows(h), self.bias, a)
+            q = self.share(self.u, self.leaf_rows(h, a), self.leaf_bias[a], b)
             out[k : k + BATCH] = np.log10((1 - MIX) * p + MIX * self.prior[a]) + np.log10((1 - MIX) * q + MIX * self.leaf_prior[a, b])
         if len(self.head):
             out += np.where(ids >= 0, self.within[np.maximum(ids, 0)], 0)
@@ -346,6 +365,21 @@ def _order(rows: np.ndarray, most: int) -> np.ndarray:
     return order
 
 
+def _sums(p: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each group: ``order`` has the rows of a group together, from ``first`` on, ``n`` of them.
+
+    The second rows of all groups are added at once, then the third ones; the few long groups that remain one by one."""
+    out = p.take(order[first], axis=0)
+    left, k = np.flatnonzero(n > 1), 1
+    while len(left) > 24:
+        out[left] += p.take(order[first[left] + k], axis=0)
+        k += 1
+        left = left[n[left] > k]
+    for i in left:
+        out[i] += np.ones(n[i] - k, np.float32) @ p[order[first[i] + k : first[i] + n[i]]]
+    return out
+
+
 class _Trainer:
     """Weights of a task with the running squares of the gradients of each row and the tokens that it saw."""
 
@@ -356,19 +390,23 @@ class _Trainer:
 
     def _step(self, kind: int, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray) -> None:
         tables, square, seen = (self.w, self.u)[kind], self.square[kind], self.seen[kind]
-        p = self.model.shares(tables, rows, bias)
+        p, total = self.model.exp_scores(tables, rows, bias)
+        p /= total[:, None]
         p[np.arange(len(y)), y] -= 1
         for t, f in enumerate(rows):
             order = _order(f, tables.shape[1])
             g = f[order]
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            at = g[first]
-            seen[t, at] += np.diff(np.append(first, len(g)))
-            grad = np.add.reduceat(p.take(order, axis=0), first, axis=0)
-            square[t, at] += np.einsum("ij,ij->i", grad, grad)
+            at, n = g[first], np.diff(np.append(first, len(g)))
+            seen[t][at] += n
+            grad = _sums(p, order, first, n)
+            size = square[t].take(at)
+            size += np.einsum("ij,ij->i", grad, grad)
+            square[t][at] = size
+            grad *= (RATE / np.sqrt(size))[:, None]
             new = tables[t].take(at, axis=0)
-            new -= (RATE / np.sqrt(square[t, at]))[:, None] * grad
-            tables[t, at] = np.clip(new, -BOUND, BOUND, out=new)
+            new -= grad
+            tables[t][at] = np.clip(new, -BOUND, BOUND, out=new)
 
     def learn(self, ids: np.ndarray, starts: np.ndarray, skip: int) -> None:
         m = self.model
@@ -380,14 +418,14 @@ class _Trainer:
             self._step(1, m.leaf_rows(h, a), m.leaf_bias[a], b)
 
     def blocks(self) -> Iterator[pa.RecordBatch]:
-        """``(kind, block, n, v)``: tokens and weights of BLOCK rows of a table, where any was seen."""
+        """``(kind, block, n, v)``: tokens and weights, in half precision, of BLOCK rows of a table, where any was seen."""
         for kind, (w, seen) in enumerate(zip((self.w, self.u), self.seen, strict=True)):
-            n, v = seen.reshape(-1, BLOCK), w.reshape(-1, BLOCK * w.shape[2])
+            n, v = seen.reshape(-1, BLOCK).astype(np.int32), w.reshape(-1, BLOCK * w.shape[2])
             rows = np.flatnonzero(n.any(axis=1))
             for k in range(0, len(rows), 256):
                 at = rows[k : k + 256]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array([x.tobytes() for x in n[at]], pa.binary()), pa.array([x.tobytes() for x in v[at]], pa.binary())], names=["kind", "block", "n", "v"]
+                    [pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array([x.tobytes() for x in n[at]], pa.binary()), pa.array([x.tobytes() for x in v[at].astype(np.float16)], pa.binary())], names=["kind", "block", "n", "v"]
                 )
 
 
@@ -407,13 +445,13 @@ def fit_weights(numbered: DataFrame, model: Model, tasks: int) -> None:
         sums: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
             for kind, block, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = np.frombuffer(n, np.int64).astype(np.float64)
-                v = np.frombuffer(v, np.float32).reshape(BLOCK, -1) * n[:, None]
+                n = np.frombuffer(n, np.int32).astype(np.float64)
+                v = np.frombuffer(v, np.float16).reshape(BLOCK, -1) * n[:, None]
                 old = sums.setdefault((kind, block), [np.zeros(BLOCK), np.zeros(v.shape)])
                 old[0] += n
                 old[1] += v
         for (kind, block), (n, v) in sums.items():
-            mean = (v / np.maximum(n, 1)[:, None]).astype(np.float32)
+            mean = (v / np.maximum(n, 1)[:, None]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([b""], pa.binary()), pa.array([mean.tobytes()], pa.binary())], names=["kind", "block", "n", "v"])
 
     # By a number of partitions that follows the model, so that no task holds much of it.
@@ -421,7 +459,8 @@ def fit_weights(numbered: DataFrame, model: Model, tasks: int) -> None:
     mean = numbered.coalesce(tasks).mapInArrow(run, schema).repartition(parts, "kind", "block").mapInArrow(average, schema).select("kind", "block", "v").toArrow()
     flat = [x.reshape(-1, BLOCK * x.shape[2]) for x in (model.w, model.u)]
     for kind, block, v in zip(*(mean.column(c) for c in ("kind", "block", "v")), strict=True):
-        flat[kind.as_py()][block.as_py()] = np.frombuffer(v.as_py(), np.float32)
+        flat[kind.as_py()][block.as_py()] = np.frombuffer(v.as_py(), np.float16)
+    shared.unpersist()
 
 
 def fit(numbered: DataFrame, vocab: Vocabulary) -> Model:
@@ -440,7 +479,7 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     """Model and word counts ``(word, c)`` of a frame with one binary column of texts (null: empty)."""
     counts = cut(count_words(texts), "lm-counts")
     vocab = vocabulary(counts)
-    numbered = cut(number_texts(texts.toDF("t"), vocab.head, "t"), "lm-numbers")
+    numbered = cut(number_texts(texts.toDF("t"), vocab.head, "t"), "lm-numbers", "zstd")
     model = fit(numbered.select("_ids"), vocab)
     drop(numbered)
     return model, counts
@@ -490,7 +529,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text") ->
 
     ``base_score``: add-one unigram log10 probability; ``score``: log10 probability under the model."""
     numbered = number_texts(df, model.head, text).withColumn("_row", F.monotonically_increasing_id())
-    return score_numbered(cut(numbered, "lm-numbers"), model, counts)
+    return score_numbered(cut(numbered, "lm-numbers", "zstd"), model, counts)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -500,7 +539,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", held_out("doc_id", FOLDS, FOLD).alias("held_out"), "text")
     counts = cut(count_words(rows.where(~F.col("held_out")).select(F.coalesce("text", F.lit("")).cast("binary").alias("t"))), "lm-counts")
     vocab = vocabulary(counts)
-    numbered = cut(number_texts(rows, vocab.head).withColumn("_row", F.monotonically_increasing_id()), "lm-numbers")
+    numbered = cut(number_texts(rows, vocab.head).withColumn("_row", F.monotonically_increasing_id()), "lm-numbers", "zstd")
     model = fit(numbered.where(~F.col("held_out")).select("_ids"), vocab)
     out = score_numbered(numbered, model, counts)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
