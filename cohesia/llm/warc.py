@@ -22,10 +22,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohesia.storage import cut, new_path
+from cohesia.storage import cut, drop, new_path, remove
 
 #: Uncompressed bytes after which a new archive begins.
 ARCHIVE_BYTES = 16 << 20
+#: Most tasks over archives; more archives are shared among them.
+TASKS = 8192
 #: Payloads below this size are never deduplicated.
 LEAST_REVISIT = 1000
 CAPTURED = "20240101000000"
@@ -192,6 +194,12 @@ def write_arcs(pages: DataFrame, folder: str, id_col: str = "page_id", url: str
     return rows.mapInArrow(run, "archive string, records long")
 
 
+def tasks(archives: int) -> int:
+    """Tasks for so many archives.  Rows that name archives are few and short, so their bytes say nothing of the work behind them,
+    and adaptive execution would join all of them into one task if the number were left open."""
+    return max(1, min(archives, TASKS))
+
+
 def index_arcs(archives: DataFrame, folder: str) -> DataFrame:
     """``(archive, offset, url, page_id, payload_bytes, digest)`` of every record of the archives."""
 
@@ -205,7 +213,7 @@ def index_arcs(archives: DataFrame, folder: str) -> DataFrame:
                         got.append((name, offset, head["URL"], int(fields["x-page-id"]) if "x-page-id" in fields else None, len(payload), sha1(payload)))
                 yield pa.RecordBatch.from_pylist([dict(zip(INDEX, g, strict=True)) for g in got], schema=pa.schema(list(zip(INDEX, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True))))
 
-    return archives.select("archive").repartition(F.col("archive")).mapInArrow(run, "archive string, offset long, url string, page_id long, payload_bytes long, digest string")
+    return archives.select("archive").repartition(tasks(archives.count())).mapInArrow(run, "archive string, offset long, url string, page_id long, payload_bytes long, digest string")
 
 
 INDEX = ("archive", "offset", "url", "page_id", "payload_bytes", "digest")
@@ -225,11 +233,13 @@ def find_revisits(index: DataFrame) -> DataFrame:
     return joined.select("i.*", to.alias("to")).select(*INDEX, F.col("to.archive").alias("to_archive"), F.col("to.offset").alias("to_offset"), F.col("to.url").alias("to_url"))
 
 
-def convert(decided: DataFrame, arc_folder: str, warc_folder: str) -> DataFrame:
+def convert(decided: DataFrame, archives: DataFrame, arc_folder: str, warc_folder: str) -> DataFrame:
     """Convert every archive to a WARC file; returns ``(archive, records)`` with the names of the new files.
 
     Every attempt of a task writes files of its own, and only those of attempts that finished are named."""
-    rows = decided.select("archive", "offset", "to_archive", "to_offset", "to_url").repartition(F.col("archive")).sortWithinPartitions("archive", "offset")
+    # Two places for each archive, so that few tasks get more than one by chance.
+    places = tasks(2 * archives.count())
+    rows = decided.select("archive", "offset", "to_archive", "to_offset", "to_url").repartition(places, "archive").sortWithinPartitions("archive", "offset")
 
     def run(batches):
         made, stream, out, records, current = [], None, None, None, None
@@ -281,20 +291,26 @@ def scan_warcs(archives: DataFrame, folder: str) -> DataFrame:
                         got.append((fields["warc-record-id"], page, fields["warc-target-uri"], size, declared, fields["warc-type"], fields.get("warc-refers-to")))
                 yield pa.RecordBatch.from_pylist([dict(zip(names, g, strict=True)) for g in got], schema=pa.schema(list(zip(names, kinds, strict=True))))
 
-    return archives.select("archive").repartition(F.col("archive")).mapInArrow(run, "record string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, to string")
+    return archives.select("archive").repartition(tasks(archives.count())).mapInArrow(run, "record string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, to string")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write pages as legacy archives, convert them, and read the WARC files back.
 
     ``(page_id, url, payload_bytes, payload_digest, record_type, refers_to)`` for every row; repeated rows are records of
-    their own, so of two rows with one page_id and payload one is a revisit of the other.  An empty table gives an empty table."""
+    their own, so of two rows with one page_id and payload one is a revisit of the other.  An empty table gives an empty table.
+    Both folders of archives are deleted when they have been read for the last time; :func:`write_arcs` and :func:`convert` by themselves
+    leave theirs."""
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     archives = cut(write_arcs(pages, arc, id_col, url, html), "arc-list")
     index = cut(index_arcs(archives, arc), "arc-index")
-    made = cut(convert(find_revisits(index), arc, warc), "warc-list")
+    made = cut(convert(find_revisits(index), archives, arc, warc), "warc-list")
+    remove(spark, arc)
     records = cut(scan_warcs(made, warc), "warc-index")
+    remove(spark, warc)
+    for x in (archives, index, made):
+        drop(x)
     to = records.where("record_type = 'response'").select(F.col("record").alias("_to"), F.col("page_id").alias("refers_to"))
     revisits = records.where("record_type = 'revisit'").join(to, F.col("to") == F.col("_to"), "left")
     cols = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]

@@ -60,3 +60,13 @@ def test_warc_fields():
     fields, body = next(warc.read_warc(gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(warc.warc_record("a", 5, head, block, None))))))
     assert fields["warc-date"] == "2024-01-01T00:00:00Z" and fields["warc-type"] == "response" and body == block
     assert warc.warc_type("dns:x") == "resource" and warc.record_id("a", 5) == fields["warc-record-id"]
+
+
+def test_one_very_large_page_and_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    pages = [(1, "http://large", "<p>0123456789é</p>" * 1_200_000)] + [(i, f"http://a/{i}", f"{i} " * 3000) for i in range(2, 60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    assert sorted(map(tuple, warc.round_trip(df).drop("url").collect())) == brute(pages)
+    archives = warc.write_arcs(df, warc.new_path(spark, "arc-test"))
+    n = archives.count()
+    assert n > 10 and warc.tasks(n) == n and warc.tasks(10**7) == warc.TASKS and warc.tasks(0) == 1
