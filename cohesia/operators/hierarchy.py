@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohesia.operators.components import connected_components, merge_labels
+from cohesia.operators.graph import numbered
 from cohesia.storage import cut, drop
 
 SMALL = 2_000_000
@@ -97,12 +98,11 @@ def components_by_level(edges: DataFrame, core: DataFrame, weights: DataFrame, s
         own = core.select(F.col("id").alias("u"), F.col("id").alias("v"), F.col("core").cast("long").alias("w"))
         return weights.unionAll(own).coalesce(1).mapInArrow(_label_levels, "k int, id long, label long")
     forest = maximum_spanning_forest(weights, 0)
-    # Core value k needs k + 1 vertices of degree k, so there are at most sqrt(2 E) values.
-    values = sorted(r.core for r in core.select("core").distinct().collect())
-    rank = core.sparkSession.createDataFrame([(k, i + 1) for i, k in enumerate(values)], "top int, rank int")
-    upto = F.explode(F.slice(F.array(*[F.lit(k) for k in values]), 1, F.col("rank"))).alias("k")
-    member = cut(core.join(rank, F.col("core") == F.col("top")).select(upto, "id").withColumn("key", F.monotonically_increasing_id()), "levels-members")
-    edge = forest.join(rank, F.col("w") == F.col("top")).select(upto, "u", "v")
+    # A vertex of the i-th core value is in the components of the first i values.
+    rank = cut(numbered(core.select(F.col("core").alias("k")).distinct(), ["k"], "rank"), "levels-rank")
+    upto = lambda frame, column: frame.join(rank.withColumnRenamed("k", column), column).withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), "rank"))).join(rank, "rank")
+    member = cut(upto(core, "core").select("k", "id").withColumn("key", F.monotonically_increasing_id()), "levels-members")
+    edge = upto(forest, "w").select("k", "u", "v")
     of = lambda c: member.select("k", F.col("id").alias(c), F.col("key").alias(c + "_key"))
     keyed = edge.join(of("u"), ["k", "u"]).join(of("v"), ["k", "v"]).select("u_key", "v_key")
     merged = connected_components(keyed, "u_key", "v_key").withColumnRenamed("id", "key")

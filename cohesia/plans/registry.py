@@ -12,7 +12,7 @@ from cohesia.index import Index
 from cohesia.operators import analysis, components, coreness, graph, hierarchy, search, workload
 from cohesia.plans.graphs import copurchase, customer_supplier, order_queries, raw_copurchase
 from cohesia.plans.oracle import with_answers, with_comp, with_core, with_graph, with_tree
-from cohesia.sources import readers, writers
+from cohesia.sources import binary, readers, writers
 from cohesia.storage import cut, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +138,19 @@ def coreness_deep(spark, d):
     return coreness.coreness(graph.symmetric(customer_supplier(spark, d)))
 
 
+@query()
+def kcore_components_deep(spark, d):
+    """Components of every level of the graph of all order lines; its SQL takes too long on whole tables, so a small graph is compared with brute force."""
+    return Index(customer_supplier(spark, d)).comp
+
+
+@query()
+def max_core_community_deep(spark, d):
+    """The community of every customer and supplier over all order lines, tested in the same way."""
+    x = Index(customer_supplier(spark, d))
+    return search.max_core_community(_singles(x), x.members)
+
+
 @query(with_core("select core, count(*) as nvert from core group by core"))
 def core_histogram(spark, d):
     return coreness.core_histogram(Index(copurchase(spark, d)).core)
@@ -469,6 +482,16 @@ def query_file_round_trip(spark, d):
     return readers.query_file(spark, path)
 
 
+@query(with_graph(", m as (select row_number() over (order by u) - 1 as id, u as orig from (select distinct u from e)) select a.id as src, b.id as dst from e join m a on a.orig = e.u join m b on b.orig = e.v"))
+def binary_round_trip(spark, d):
+    """Adjacency over dense ids written to one binary file and read back by ranges."""
+    edges = cut(copurchase(spark, d))
+    vertices = cut(graph.dense_ids(graph.vertex_set(edges)))
+    path = new_path(spark, "adjacency")
+    binary.write_adjacency(cut(graph.symmetric(graph.relabel(edges, vertices))), vertices.count(), path)
+    return binary.adjacency_file(spark, path)
+
+
 @query(with_core("select row_number() over (order by id) - 1 as id, core::bigint as core from core"))
 def positional_round_trip(spark, d):
     """Core numbers of dense ids written one a line into a folder of files and read back by their places."""

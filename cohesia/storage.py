@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: dict[str, str] = {}
+_app_folders: set[str] = set()
 _PACKAGE_AT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -46,8 +47,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/cohesia/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, in a folder of the application that goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_root(spark)}/cohesia/{app}"
+    if app not in _app_folders:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(jpath)
+        system.deleteOnExit(jpath)
+        _app_folders.add(app)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:

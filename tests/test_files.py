@@ -1,11 +1,14 @@
 import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohesia import storage
 from cohesia.index import Index
 from cohesia.operators import analysis, graph, hierarchy, search
-from cohesia.sources import readers, writers
+from cohesia.sources import binary, readers, writers
 from tests.graphs import clique_chain
 
 
@@ -100,6 +103,46 @@ def test_folders_of_many_files_and_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_binary_adjacency(spark, tmp_path, monkeypatch):
+    rnd = random.Random(3)
+    edges = {(min(a, b), max(a, b)) for a, b in ((rnd.randrange(300), rnd.randrange(300)) for _ in range(900)) if a != b and a % 7 and b % 7}
+    near = {v: sorted({b for a, b in edges if a == v} | {a for a, b in edges if b == v}) for v in range(300)}
+    starts = [300 + sum(len(near[w]) for w in range(v)) for v in range(300)]
+    want = np.array([*starts, *[w for v in range(300) for w in near[v]]], dtype="<u8").tobytes()
+    adj = graph.symmetric(spark.createDataFrame(sorted(edges), "u long, v long"))
+    for size in (binary.RANGE, 16):
+        monkeypatch.setattr(binary, "RANGE", size)
+        monkeypatch.setattr(binary, "BIN_ROWS", 10 * size)
+        binary.write_adjacency(adj, 300, f"{tmp_path}/g{size}")
+        assert (tmp_path / f"g{size}").read_bytes() == want
+        assert rows(binary.adjacency_file(spark, f"{tmp_path}/g{size}")) == rows(adj)
+    binary.write_adjacency(adj.limit(0), 0, f"{tmp_path}/none")
+    assert (tmp_path / "none").read_bytes() == b"" and binary.adjacency_file(spark, f"{tmp_path}/none").count() == 0
+    (tmp_path / "bad").write_bytes(np.array([9, 9], dtype="<u8").tobytes())
+    with pytest.raises(ValueError):
+        binary.adjacency_file(spark, f"{tmp_path}/bad")
+
+
+def test_intermediate_folders(spark, tmp_path):
+    table = storage.cut(spark.range(5), "five")
+    assert spark.sparkContext.applicationId in table._cohesia_path
+    storage.drop(table)
+    storage.drop(spark.range(1))
+    with pytest.raises(ValueError):
+        storage.remove(spark, f"{tmp_path}/elsewhere")
+
+    class Cluster:
+        applicationId, master = "other", "spark://far"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Cluster
+
+    with pytest.raises(RuntimeError):
+        storage.shared_root(Session)
+
+
 def test_timing(spark):
     t = spark.createDataFrame([("n", "index", "a", 1.0), ("n", "index", "b", 2.0), ("m", "index", "a", 3.0)], "network string, op string, impl string, time double")
     many = spark.range(1001).select(F.lit("n").alias("network"), F.lit("o").alias("op"), F.col("id").cast("string").alias("impl"), F.lit(1.0).alias("time"))
