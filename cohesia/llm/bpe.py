@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohesia.llm.common import add_columns
+from cohesia.llm.common import Remembered, add_columns
 
 #: Fixed value: the public byte-level pre-tokenizer pattern.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces kept with their tokens in a worker, and the longest piece kept; both only bound memory.
-CACHED, CACHED_CHARS = 600_000, 48
+#: Pieces of a generation kept with their tokens in a worker, and the longest piece kept.
+CACHED, CACHED_CHARS = 200_000, 48
 #: Places of a piece whose matches are held at a time.
 WINDOW = 4096
 
@@ -68,6 +68,7 @@ class Tokenizer:
             self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (len(self.bytes_of[i]), i))
         self.automaton.make_automaton()
         self.longest = max(len(self.bytes_of[i]) for i in reachable)
+        self.token_of = {self.bytes_of[i]: i for i in reachable}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
@@ -75,7 +76,8 @@ class Tokenizer:
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.cache = _Pieces(self)
+        # Piece -> its ids as packed 32-bit integers.
+        self.cache = Remembered(lambda piece: self.encode_piece(piece.encode("utf-8", "surrogatepass")).tobytes(), CACHED, CACHED_CHARS)
         n = max(self.bytes_of) + 1
         lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(n)], dtype=np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
@@ -110,24 +112,29 @@ class Tokenizer:
         self.compatible[key] = good
         return good
 
-    def _starts(self, piece: bytes, low: int, high: int) -> list[list[tuple[int, int]]]:
+    def _starts(self, piece: str, low: int, high: int) -> list[list[tuple[int, int]]]:
         """``(length, token)`` of the tokens that start at each place from ``low`` to ``high``, shorter ones first."""
         starts: list[list[tuple[int, int]]] = [[] for _ in range(high - low)]
-        for end, (length, token) in self.automaton.iter(piece[low : high + self.longest].decode("latin-1")):
-            at = end - length + 1
-            if at < high - low:
-                starts[at].append((length, token))  # by rising end, so by rising length
+        last = high - low
+        for end, match in self.automaton.iter(piece[low : high + self.longest]):
+            at = end - match[0] + 1
+            if at < last:
+                starts[at].append(match)  # by rising end, so by rising length
         return starts
 
     def encode_piece(self, piece: bytes) -> array:
         """Tokens of one pre-tokenizer piece.  Matches are held for a window of places only, found again if the search goes back behind it,
         so a piece of any length takes some 15 bytes of memory a byte at most."""
-        n = len(piece)
+        whole = self.token_of.get(piece)
+        if whole is not None:  # the longest match at the beginning, with no token before it
+            return array("i", (whole,))
+        n, letters = len(piece), piece.decode("latin-1")
         alive = bytearray(b"\x01") * (n + 1)
-        out, places, picked = array("i"), array("q"), array("h")  # picked: which of the options of its place each token is
+        # ``picked``: which of the options of its place each token is.
+        out, places, picked = ([], [], []) if n <= WINDOW else (array("i"), array("q"), array("h"))
         low, high = 0, min(n, WINDOW)
-        starts = self._starts(piece, low, high)
-        known, last = self.compatible.get, None
+        starts = self._starts(letters, low, high)
+        known, fits, last = self.compatible.get, self.fits, None
         pos, i = 0, len(starts[0]) - 1 if n else 0
         while pos < n:
             options = starts[pos - low]
@@ -137,26 +144,25 @@ class Tokenizer:
                     if last is None:
                         break
                     good = known((last, token))
-                    if self.fits(last, token) if good is None else good:
+                    if fits(last, token) if good is None else good:
                         break
                 i -= 1
-            forward = i >= 0
-            if forward:
+            if i >= 0:
                 out.append(token)
                 picked.append(i)
                 places.append(pos)
-                pos, last = pos + length, token
+                pos, last, i = pos + length, token, -1
             else:
                 alive[pos] = 0
                 out.pop()
-                pos, i, last = places.pop(), picked.pop() - 1, out[-1] if out else None
-            if not low <= pos < high and pos < n:
+                pos, i, last = places.pop(), picked.pop(), out[-1] if out else None
+            if (pos >= high or pos < low) and pos < n:
                 low = max(0, pos - WINDOW // 2)
                 high = min(n, low + WINDOW)
-                starts = self._starts(piece, low, high)
-            if forward:
-                i = len(starts[pos - low]) - 1 if pos < n else 0
-        return out
+                starts = self._starts(letters, low, high)
+            # Forward, all options of the new place; back, those after the one that led nowhere.
+            i = i - 1 if i >= 0 else len(starts[pos - low]) - 1 if pos < n else 0
+        return array("i", out)
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text; strings of added tokens become their ids."""
@@ -184,22 +190,6 @@ class Tokenizer:
         return b"".join(out)
 
 
-class _Pieces(dict):
-    """Piece -> its ids as packed int32; refilled from empty when it holds CACHED pieces."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode_piece(piece.encode("utf-8", "surrogatepass")).tobytes()
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 @lru_cache(maxsize=2)
 def _of(raw_file: bytes) -> Tokenizer:
     return Tokenizer(raw_file)

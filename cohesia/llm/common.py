@@ -23,6 +23,28 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
 
 
+class Remembered(dict):
+    """Answers of a function for the keys asked for lately: two generations of ``half`` keys each, so that keys asked for again and again stay.
+
+    Keys longer than ``longest`` are answered but not kept; both only bound memory."""
+
+    def __init__(self, answer: Callable, half: int, longest: int):
+        super().__init__()
+        self.answer, self.half, self.longest, self.before = answer, half, longest, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.answer(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.half:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def table(spark, folder: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's reader (any file system)."""
     reach_workers(spark)

@@ -19,10 +19,11 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohesia.llm.common import slices, words
+from cohesia.llm.common import Remembered, slices, words
 
 SHINGLE, CONTAINED = 5, 0.8
 #: Hashes of a sketch beyond those that a contained item may lack.
@@ -32,21 +33,7 @@ BLOCK_BYTES = 16 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15 ** (i + 1) % (1 << 64) for i in range(SHINGLE)], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, refilled when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh64_intdigest(word, 7)
-        if len(word) <= 64:
-            if len(self) >= 500_000:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_hash_of = _Hashes()
+_hash_of = Remembered(lambda word: xxhash.xxh64_intdigest(word, 7), 125_000, 64)
 
 
 def shingle_hashes(w: list[bytes]) -> np.ndarray:

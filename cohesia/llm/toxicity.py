@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohesia.llm import simhash
-from cohesia.llm.common import add_columns, slices
+from cohesia.llm.common import Remembered, add_columns, slices
 from cohesia.llm.learn import held_out, labelled_sample, logistic, sigmoid
 from cohesia.operators.components import merge_labels
 from cohesia.storage import cut, drop
@@ -38,6 +38,8 @@ COPY_BITS = 12
 SUPPORT, ODDS, CHANCE = 4, 12, 0.01
 FOLDS, FOLD = 5, 0
 WINDOW = 8
+#: Words of a generation kept with their kinds in a worker.
+KEPT = 150_000
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Digits and signs written for letters.
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
@@ -184,7 +186,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.automaton = model, model.automaton()
-        self.kinds = _Kinds(self.automaton)
+        # Word -> kind of its best term, -1: none.
+        self.kinds = Remembered(lambda word: -1 if (found := self.automaton.match(bare(word))) is None else found[1], KEPT, 64)
 
     def hits(self, text: str) -> list[tuple[int, int, bool, bool]]:
         """``(word position, kind, quoted, addressed)`` of each occurrence of a term."""
@@ -220,23 +223,6 @@ class Scorer:
         return x
 
 
-class _Kinds(dict):
-    """Word -> kind of its best term, -1: none."""
-
-    def __init__(self, automaton: Automaton):
-        super().__init__()
-        self.automaton = automaton
-
-    def __missing__(self, word: str) -> int:
-        found = self.automaton.match(bare(word))
-        kind = -1 if found is None else found[1]
-        if len(word) <= 64:  # longer ones are answered but not kept
-            if len(self) >= 400_000:
-                self.clear()
-            self[word] = kind
-        return kind
-
-
 def candidates(text: str) -> set[str]:
     """Bare words, and their beginnings marked by ``*``, of a text."""
     out = set()
