@@ -29,7 +29,7 @@ from cohesia.storage import cut, drop
 
 COSINE, RECALL = 0.95, 0.99999
 #: Rows of a block of a bucket, vectors of a component compared as a whole, and those of a part of it.
-BLOCK, DIRECT, PART = 1024, 1024, 256
+BLOCK, DIRECT, PART = 1024, 1024, 128
 #: Wanted mean size of a bucket in which vectors are compared, and of one in which sketches are.
 MEAN_BUCKET, MEAN_SKETCHED = 24, 192
 SKETCH = 128
