@@ -20,6 +20,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -47,11 +48,13 @@ PER_ROW, TASKS = 128, 16
 TABLES = 4
 BATCH, RATE, MIX = 4096, 0.35, 0.01
 #: Tokens whose features are held at a time; a longer text is taken in parts.
-RUN = 8 * BATCH
+RUN = 16 * BATCH
 #: Words before a token that its features look at.
 REACH = 3
 #: Rows of a table that travel together when weights are averaged.
 BLOCK = 64
+#: Bytes of weights that one task averages.
+SENT = 16 << 20
 #: Bound of a weight, so that sums of five stay within the range of exp in single precision.
 BOUND = 12.0
 
@@ -63,6 +66,7 @@ class Sizes(NamedTuple):
     buckets: int
     leaves: int
     tasks: int
+    batch: int
 
 
 def sizes(tokens: int) -> Sizes:
@@ -72,7 +76,10 @@ def sizes(tokens: int) -> Sizes:
     n = max(tokens, 1)
     buckets = max(BUCKETS, 1 << round(math.log2(2 * math.sqrt(n))))
     times = buckets / BUCKETS
-    return Sizes(round(CLUSTERED * times), round(NEIGHBOURS * math.sqrt(times)), max(GROUPS, round(n**0.125)), buckets, max(LEAVES, round(n**0.15)), max(TASKS, n // (PER_ROW * buckets)))
+    tasks = max(TASKS, n // (PER_ROW * buckets))
+    # Some thousand gradient steps a task, of more tokens where there are more.
+    batch = min(4 * BATCH, max(BATCH, 1 << round(math.log2(n / tasks / 800 + 1))))
+    return Sizes(round(CLUSTERED * times), round(NEIGHBOURS * math.sqrt(times)), max(GROUPS, round(n**0.125)), buckets, max(LEAVES, round(n**0.15)), tasks, batch)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -114,7 +121,7 @@ class _Index(dict):
 
 def numbers(w: list[bytes], index: _Index) -> np.ndarray:
     """Numbers of words and of the end after them."""
-    return np.fromiter(map(index.__getitem__, [*w, END]), np.int32, len(w) + 1)
+    return np.fromiter(map(index.__getitem__, chain(w, (END,))), np.int32, len(w) + 1)
 
 
 def number_texts(df: DataFrame, head: list[bytes], text: str = "text") -> DataFrame:
@@ -257,13 +264,24 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64), totals.n, totals.v, size, tokens, once)
 
 
+_held: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _scratch(use: int, rows: int, width: int) -> np.ndarray:
+    """Room that is used again and again: the pages of a new array cost as much as the sums in it."""
+    held = _held.get((use, width))
+    if held is None or len(held) < rows:
+        held = _held[use, width] = np.empty((rows, width), np.float32)
+    return held[:rows]
+
+
 class Model:
     """Classes and leaves of the words, and the weights of both factors."""
 
     def __init__(self, vocab: Vocabulary, groups: np.ndarray):
         head, counts, size = vocab.head, vocab.counts, vocab.size
         self.head, self.total, self.distinct = head, vocab.total, vocab.distinct
-        self.buckets, self.inner, self.leaves = size.buckets, 2 * size.buckets, size.leaves
+        self.buckets, self.inner, self.leaves, self.batch = size.buckets, 2 * size.buckets, size.leaves, size.batch
         self.classes = size.groups * BANDS + 2
         end, self.tail = self.classes - 2, self.classes - 1
         # Bands of equal mass inside a group, most frequent words first.
@@ -329,13 +347,16 @@ class Model:
 
     @staticmethod
     def exp_scores(tables: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exponentials of the sums of the rows of all tables, and their totals over the columns."""
-        s = tables[0].take(rows[0], axis=0)
+        """Exponentials of the sums of the rows of all tables, and their totals over the columns; valid until the next call for as many columns."""
+        n, width = len(rows[0]), tables.shape[2]
+        s, more = (_scratch(k, n, width) for k in (0, 1))
+        np.take(tables[0], rows[0], axis=0, out=s, mode="clip")
         for t in range(1, TABLES):
-            s += tables[t].take(rows[t], axis=0)
+            np.take(tables[t], rows[t], axis=0, out=more, mode="clip")
+            s += more
         s += bias
         np.exp(s, out=s)
-        return s, s @ np.ones(s.shape[1], np.float32)
+        return s, s @ np.ones(width, np.float32)
 
     def share(self, tables: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Softmax of the columns ``y``."""
@@ -369,7 +390,7 @@ def _sums(p: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) ->
     """Sums of the rows of each group: ``order`` has the rows of a group together, from ``first`` on, ``n`` of them.
 
     The second rows of all groups are added at once, then the third ones; the few long groups that remain one by one."""
-    out = p.take(order[first], axis=0)
+    out = np.take(p, order[first], axis=0, out=_scratch(2, len(first), p.shape[1]), mode="clip")
     left, k = np.flatnonzero(n > 1), 1
     while len(left) > 24:
         out[left] += p.take(order[first[left] + k], axis=0)
@@ -404,7 +425,7 @@ class _Trainer:
             size += np.einsum("ij,ij->i", grad, grad)
             square[t][at] = size
             grad *= (RATE / np.sqrt(size))[:, None]
-            new = tables[t].take(at, axis=0)
+            new = np.take(tables[t], at, axis=0, out=_scratch(3, len(at), tables.shape[2]), mode="clip")
             new -= grad
             tables[t][at] = np.clip(new, -BOUND, BOUND, out=new)
 
@@ -412,8 +433,8 @@ class _Trainer:
         m = self.model
         y, leaf = m.targets(ids)
         history = m.history(ids, starts)
-        for k in range(skip, len(ids), BATCH):
-            h, a, b = [x[k : k + BATCH] for x in history], y[k : k + BATCH], leaf[k : k + BATCH]
+        for k in range(skip, len(ids), m.batch):
+            h, a, b = [x[k : k + m.batch] for x in history], y[k : k + m.batch], leaf[k : k + m.batch]
             self._step(0, m.class_rows(h), m.bias, a)
             self._step(1, m.leaf_rows(h, a), m.leaf_bias[a], b)
 
@@ -454,8 +475,12 @@ def fit_weights(numbered: DataFrame, model: Model, tasks: int) -> None:
             mean = (v / np.maximum(n, 1)[:, None]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([b""], pa.binary()), pa.array([mean.tobytes()], pa.binary())], names=["kind", "block", "n", "v"])
 
-    # By a number of partitions that follows the model, so that no task holds much of it.
-    parts = max(8, model.inner * TABLES // 16_384)
+    # Whole multiples of the partitions there are, so that no task gets more of them than another.
+    have = numbered.rdd.getNumPartitions()
+    tasks = math.ceil(have / max(1, have // tasks))
+    # As many parts as what the tasks send takes, up to one for each block of the model.
+    sent = tasks * (model.w.size + model.u.size) * 2
+    parts = max(8, min(sent // SENT, (model.buckets + model.inner) * TABLES // BLOCK))
     mean = numbered.coalesce(tasks).mapInArrow(run, schema).repartition(parts, "kind", "block").mapInArrow(average, schema).select("kind", "block", "v").toArrow()
     flat = [x.reshape(-1, BLOCK * x.shape[2]) for x in (model.w, model.u)]
     for kind, block, v in zip(*(mean.column(c) for c in ("kind", "block", "v")), strict=True):
