@@ -10,7 +10,7 @@ component, where all pairs are compared by their cosine in double precision.  A
 candidates, is not compared as a whole: its vectors travel to the buckets of narrower tables and are compared there; a pair that meets in several
 of them counts in the first only.  Either way links are counted without listing pairs, and a spanning forest of them is kept.
 
-Buckets above ``BLOCK`` are cut into blocks, and pairs of blocks are separate groups, so one hot bucket spreads over many
+Buckets above ``BLOCK`` (of sketches: ``SKETCH_BLOCK``) are cut into blocks, and pairs of blocks are separate groups, so one hot bucket spreads over many
 tasks and no task holds more than two blocks.
 """
 
@@ -30,6 +30,8 @@ from cohesia.storage import cut, drop
 COSINE, RECALL = 0.95, 0.99999
 #: Rows of a block of a bucket, vectors of a component compared as a whole, and those of a part of it.
 BLOCK, DIRECT, PART = 1024, 1024, 128
+#: Rows of a block of a bucket of sketches, which are narrow.
+SKETCH_BLOCK = 2048
 #: Wanted mean size of a bucket in which vectors are compared, and of one in which sketches are.
 MEAN_BUCKET, MEAN_SKETCHED = 24, 192
 SKETCH = 128
@@ -263,10 +265,10 @@ def _compare_components(cosine: float):
     return run
 
 
-def _blocked(spread: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Rows of buckets above BLOCK once for every pair of blocks ``(x, y)`` that theirs belongs to; other buckets are one block."""
+def _blocked(spread: DataFrame, keys: list[str], name: str, block: int) -> DataFrame:
+    """Rows of buckets above ``block`` once for every pair of blocks ``(x, y)`` that theirs belongs to; other buckets are one block."""
     # Hashing again is cheaper than storing the rows.
-    hot = cut(spread.groupBy(*keys).count().where(F.col("count") > BLOCK).select(*keys, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), name)
+    hot = cut(spread.groupBy(*keys).count().where(F.col("count") > block).select(*keys, F.ceil(F.col("count") / block).cast("int").alias("blocks")), name)
     return _in_pairs(spread.join(hot, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
 
 
@@ -281,7 +283,7 @@ def _links_in_tables(vectors: DataFrame, number: int, cosine: float, recall: flo
     bits, tables = plan_tables(number, cosine, recall)
     spread = vectors.repartition(F.col("cls")).mapInArrow(_spread(bits, tables), "dim int, tab int, bucket long, cls long, number long, raw binary, every binary")
     key = ["dim", "tab", "bucket", "x", "y"]
-    cells = _blocked(spread, key[:3], "embed-hot").select(*key, "side", "cls", "number", "raw", "every")
+    cells = _blocked(spread, key[:3], "embed-hot", BLOCK).select(*key, "side", "cls", "number", "raw", "every")
     return cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare_groups(cosine), "a long, b long, n long")
 
 
@@ -309,7 +311,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     bits, tables = plan_tables(classes.count(), cosine, 1 - 0.9 * (1 - recall), MEAN_SKETCHED)
     sketched = vectors.mapInArrow(_sketched(bits, tables), "key long, cls long, s1 long, s2 long")
     key = ["key", "x", "y"]
-    cells = _blocked(sketched, ["key"], "embed-hot-sketches").select(*key, "cls", "s1", "s2")
+    cells = _blocked(sketched, ["key"], "embed-hot-sketches", SKETCH_BLOCK).select(*key, "cls", "s1", "s2")
     likely = cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(_sketch_groups(plan_sketch(cosine, (1 - recall) / 10)), "a long, b long")
     likely = cut(likely.distinct(), "embed-likely")
     groups = cut(connected_components(likely, "a", "b").withColumnRenamed("id", "cls").withColumnRenamed("component", "group"), "embed-groups")

@@ -62,6 +62,7 @@ def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "DIRECT", 20)
     assert got(embed_dedup.near_vectors(df)) == want
     monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embed_dedup, "SKETCH_BLOCK", 16)
     assert got(embed_dedup.near_vectors(df)) == want
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
